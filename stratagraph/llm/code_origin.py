@@ -30,7 +30,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..workspace import stage
+from ..workspace import spread, stage
 
 # -- fixed values: notices, directories, suffixes ------------------------------
 
@@ -232,7 +232,7 @@ def _inspected(files: DataFrame) -> DataFrame:
             rows = [(p, r, *inspect(p, r, c)) for p, r, c in zip(batch["project"], batch["rel_path"], batch["content"])]
             yield pd.DataFrame(rows, columns=["project", "rel_path", "generated", "minified", "data", "vendored", "named", "imports", "directory", "digest"])
 
-    return files.select("project", "rel_path", "content").mapInPandas(run, _SCHEMA)
+    return spread(files.select("project", "rel_path", "content")).mapInPandas(run, _SCHEMA)
 
 
 def code_origin(files: DataFrame) -> DataFrame:

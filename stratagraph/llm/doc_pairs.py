@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..tables import present, valid_rows
+from ..workspace import spread
 
 # -- capture --------------------------------------------------------------------
 
@@ -251,7 +252,7 @@ def source_pairs(files: DataFrame, keys: list[str], text: str = "content") -> Da
     dropped.  Null and empty texts have no functions; a text is always captured
     as a whole.
     """
-    table = files.where(present(text)).select(*keys, F.col(text).alias("_text"))
+    table = spread(files.where(present(text)).select(*keys, F.col(text).alias("_text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import load, present, valid_rows
 from ..workspace import stage
-from . import code_origin, doc_pairs, mixture, tokens, topn
+from . import code_origin, doc_pairs, mixture, tokens, topn, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,16 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached_shares(*_mixed(spark, sf_dir))
+
+
+# --- text cut off by field limits -----------------------------------------------
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(load(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+@query()
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(truncation.judged(load(spark, sf_dir, "documents")))

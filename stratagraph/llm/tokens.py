@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..workspace import spread
+
 #: Where the public vocabulary lies unless a caller names another file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The word pattern of this family of byte-level tokenizers (fixed value).
@@ -175,7 +177,7 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     tokens are ordinary text.  Rows with a repeated or null id are all encoded;
     other columns are ignored.
     """
-    table = documents.select(F.col(id_column), F.col(text_column).alias("_text"))
+    table = spread(documents.select(F.col(id_column), F.col(text_column).alias("_text")))
     kind = dict(table.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
 def token_counts(documents: DataFrame, text_column: str = "text", tokenizer: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
     """The columns of ``documents`` other than the text, and the number of its tokens."""
     kept = [c for c in documents.columns if c not in (text_column, out)]
-    table = documents.select(*kept, F.col(text_column).alias("_text"))
+    table = spread(documents.select(*kept, F.col(text_column).alias("_text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

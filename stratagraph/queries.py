@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import graph_queries  # noqa: F401  registers its queries
 from .operators.orphans import orphan_references, orphan_report
 from .operators.snapshot_delta import snapshot_changes
+from .registry import QUERIES, SQL, query
 from .tables import digest_text, load, present, slash_path
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["QUERIES", "SQL"]
 
 
 # --- references to records that do not exist ---------------------------------

@@ -12,16 +12,56 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tables import KEYS, load, present, slash_path, valid_rows
+from .workspace import stage
 
 TYPE_KINDS = ("struct", "interface", "type", "alias", "class")
 CALLABLE_KINDS = ("func", "method")
 
 
+#: Size of an input table from which on its slices are settled.
+SETTLE_BYTES = 256 << 20
+#: What the derived tables are made of.
+SOURCES = {"packages": ("symbols",), "package_deps": ("symbols", "calls", "refs"), "tests": ("test_links",)}
+
+
+def packages_of(symbols: DataFrame) -> DataFrame:
+    named = symbols.where("package_import_path <> ''")
+    counted = named.groupBy("snapshot_id", F.col("package_import_path").alias("import_path")).agg(F.count_distinct("file_path").alias("file_count"))
+    return counted.withColumn("name", F.regexp_extract("import_path", r"([^/.:]+)$", 1)).withColumn("dir_path", F.col("import_path"))
+
+
+def package_deps_of(symbols: DataFrame, calls: DataFrame, refs: DataFrame, external: DataFrame) -> DataFrame:
+    """Distinct package pairs of calls and references; external modules are not local."""
+    owner = symbols.select("snapshot_id", F.col("symbol_key").alias("_key"), F.col("package_import_path").alias("to_package_import_path"))
+    uses = calls.select("snapshot_id", F.col("caller_package_import_path").alias("from_package_import_path"), F.col("callee_symbol_key").alias("_key")).unionAll(
+        refs.select("snapshot_id", "from_package_import_path", F.col("to_symbol_key").alias("_key"))
+    )
+    uses = uses.where("from_package_import_path <> ''").distinct()
+    local = uses.join(owner, ["snapshot_id", "_key"]).where("to_package_import_path <> '' AND to_package_import_path <> from_package_import_path")
+    library = uses.join(external.select(F.col("symbol_key").alias("_key"), F.col("module").alias("to_package_import_path")), "_key")
+    keys = ["snapshot_id", "from_package_import_path", "to_package_import_path"]
+    return local.select(*keys, F.lit(True).alias("is_local")).unionAll(library.select(*keys, F.lit(False).alias("is_local"))).distinct()
+
+
+def tests_of(test_links: DataFrame) -> DataFrame:
+    one = test_links.groupBy("snapshot_id", "test_key").agg(F.min("test_package_import_path").alias("package_import_path"))
+    return one.withColumn("file_path", F.coalesce(F.get(F.split("test_key", r"\|"), F.lit(2)), F.lit(""))).withColumn(
+        "name", F.regexp_extract("test_key", r"([^|:]+)(:[0-9]+)?$", 1)
+    ).withColumn("line", F.coalesce(F.expr("try_cast(regexp_extract(test_key, ':([0-9]+)$', 1) AS int)"), F.lit(0)))
+
+
 class Facts:
-    """Cleaned tables of one data directory."""
+    """Cleaned tables of one data directory.
+
+    With ``settle`` the slices that ``at`` hands out are written once and read
+    by every branch of a plan that needs them again, if the table they are cut
+    from is at least ``SETTLE_BYTES`` large; cleaning a smaller one again costs
+    less than a job of its own.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False) -> None:
+        self.spark, self.sf_dir, self.settle = spark, sf_dir, settle
+        self._written: dict[tuple[str, int], DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
@@ -68,34 +108,42 @@ class Facts:
 
     @cached_property
     def packages(self) -> DataFrame:
-        named = self.symbols.where("package_import_path <> ''")
-        counted = named.groupBy("snapshot_id", F.col("package_import_path").alias("import_path")).agg(F.count_distinct("file_path").alias("file_count"))
-        return counted.withColumn("name", F.regexp_extract("import_path", r"([^/.:]+)$", 1)).withColumn("dir_path", F.col("import_path"))
+        return packages_of(self.symbols)
 
     @cached_property
     def package_deps(self) -> DataFrame:
-        """Distinct package pairs of calls and references; external modules are not local."""
-        owner = self.symbols.select("snapshot_id", F.col("symbol_key").alias("_key"), F.col("package_import_path").alias("to_package_import_path"))
-        uses = self.calls.select("snapshot_id", F.col("caller_package_import_path").alias("from_package_import_path"), F.col("callee_symbol_key").alias("_key")).unionAll(
-            self.refs.select("snapshot_id", "from_package_import_path", F.col("to_symbol_key").alias("_key"))
-        )
-        uses = uses.where("from_package_import_path <> ''").distinct()
-        local = uses.join(owner, ["snapshot_id", "_key"]).where("to_package_import_path <> '' AND to_package_import_path <> from_package_import_path")
-        external = uses.join(self.raw("external_symbols").select(F.col("symbol_key").alias("_key"), F.col("module").alias("to_package_import_path")), "_key")
-        keys = ["snapshot_id", "from_package_import_path", "to_package_import_path"]
-        return local.select(*keys, F.lit(True).alias("is_local")).unionAll(external.select(*keys, F.lit(False).alias("is_local"))).distinct()
+        return package_deps_of(self.symbols, self.calls, self.refs, self.raw("external_symbols"))
 
     @cached_property
     def tests(self) -> DataFrame:
-        one = self.test_links.groupBy("snapshot_id", "test_key").agg(F.min("test_package_import_path").alias("package_import_path"))
-        return one.withColumn("file_path", F.coalesce(F.get(F.split("test_key", r"\|"), F.lit(2)), F.lit(""))).withColumn(
-            "name", F.regexp_extract("test_key", r"([^|:]+)(:[0-9]+)?$", 1)
-        ).withColumn("line", F.coalesce(F.expr("try_cast(regexp_extract(test_key, ':([0-9]+)$', 1) AS int)"), F.lit(0)))
+        return tests_of(self.test_links)
 
     def at(self, name: str, snapshot_id: int | None = None) -> DataFrame:
         """A table at one snapshot, by default the current one, without the snapshot column."""
         sid = self.current if snapshot_id is None else snapshot_id
-        return getattr(self, name).where(F.col("snapshot_id") == sid).drop("snapshot_id")
+        if self.settle and self._large(name):
+            if (name, sid) not in self._written:
+                self._written[name, sid] = stage(self._slice(name, sid), f"facts-{name}")
+            return self._written[name, sid]
+        return self._slice(name, sid)
+
+    def _large(self, name: str) -> bool:
+        table = SOURCES.get(name, (name,))[0]
+        plan = self.raw({"calls": "call_edges"}.get(table, table))._jdf.queryExecution().optimizedPlan()
+        return int(plan.stats().sizeInBytes().toString()) >= SETTLE_BYTES
+
+    def _slice(self, name: str, sid: int) -> DataFrame:
+        """A table of one snapshot; derived tables come from the slices of their sources."""
+        part = {t: self.at(t, sid).withColumn("snapshot_id", F.lit(sid).cast("long")) for t in SOURCES.get(name, ())}
+        if name == "packages":
+            table = packages_of(part["symbols"])
+        elif name == "package_deps":
+            table = package_deps_of(part["symbols"], part["calls"], part["refs"], self.raw("external_symbols"))
+        elif name == "tests":
+            table = tests_of(part["test_links"])
+        else:
+            table = getattr(self, name).where(F.col("snapshot_id") == sid)
+        return table.drop("snapshot_id")
 
     def busiest_symbol(self, snapshot_id: int | None = None) -> str:
         """The symbol with most callers (then least key): the anchor of the single-symbol queries."""

@@ -16,11 +16,14 @@ from .operators.rank import FUNCTION_WEIGHTS, TYPE_WEIGHTS
 from .registry import query
 
 
-def facts_query(sql: str | None = None, name: str | None = None) -> Callable:
-    """Registers a query that is given the cleaned tables; ``sql`` may use them by their short names."""
+def facts_query(sql: str | None = None, name: str | None = None, settle: bool = False) -> Callable:
+    """Registers a query that is given the cleaned tables; ``sql`` may use them by their short names.
+
+    Queries that use a table in many places ask for it to be settled first.
+    """
 
     def register(body: Callable[[Facts], DataFrame]) -> Callable:
-        query(base(sql) if sql else None, name or body.__name__)(lambda spark, sf_dir: body(Facts(spark, sf_dir)))
+        query(base(sql) if sql else None, name or body.__name__)(lambda spark, sf_dir: body(Facts(spark, sf_dir, settle)))
         return body
 
     return register
@@ -66,7 +69,7 @@ _PM = f", pm AS ({_pm()})"
 _PM_ALL = f", pma AS ({_pm('', 'snapshot_id, ')})"
 
 
-@facts_query(f"{_PM} SELECT import_path, file_count, symbol_count, test_count, local_deps, reverse_deps, importance FROM pm")
+@facts_query(f"{_PM} SELECT import_path, file_count, symbol_count, test_count, local_deps, reverse_deps, importance FROM pm", settle=True)
 def agg_pkg_metrics(f: Facts) -> DataFrame:
     return metrics.package_metrics(f).select("import_path", "file_count", "symbol_count", "test_count", "local_deps", "reverse_deps", "importance")
 
@@ -75,7 +78,8 @@ def agg_pkg_metrics(f: Facts) -> DataFrame:
     f"""{_PM} SELECT import_path, symbol_count, test_count,
     (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT to_package_import_path AS x FROM pd_c WHERE is_local AND from_package_import_path = (SELECT p FROM anchor_pkg))) AS depends_on,
     (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT from_package_import_path AS x FROM pd_c WHERE is_local AND to_package_import_path = (SELECT p FROM anchor_pkg))) AS used_by
-    FROM pm WHERE import_path = (SELECT p FROM anchor_pkg)"""
+    FROM pm WHERE import_path = (SELECT p FROM anchor_pkg)""",
+    settle=True,
 )
 def agg_pkg_summary(f: Facts) -> DataFrame:
     package = f.largest_package()
@@ -111,7 +115,7 @@ _FS = f"""{_PM}, fs AS (
 _FS_COLUMNS = ["rel_path", "package_import_path", "symbol_count", "func_count", "method_count", "type_count", "declared_tests", "related_tests", "relevant_symbols", "linked_symbols", "inbound_calls", "inbound_refs", "reverse_package_deps"]
 
 
-@facts_query(f"{_FS} SELECT {', '.join(_FS_COLUMNS)} FROM fs")
+@facts_query(f"{_FS} SELECT {', '.join(_FS_COLUMNS)} FROM fs", settle=True)
 def agg_file_summary(f: Facts) -> DataFrame:
     return metrics.file_summaries(f).select(*_FS_COLUMNS)
 
@@ -217,7 +221,7 @@ _SM = f"""{_PM}, sm AS (
 _SM_COLUMNS = ["symbol_key", "qname", "kind", "caller_count", "callee_count", "reference_count", "test_count", "reverse_package_deps", "package_importance", "method_count"]
 
 
-@facts_query(f"{_SM} SELECT {', '.join(_SM_COLUMNS)} FROM sm")
+@facts_query(f"{_SM} SELECT {', '.join(_SM_COLUMNS)} FROM sm", settle=True)
 def jn_symbol_metrics(f: Facts) -> DataFrame:
     return metrics.symbol_metrics(f).select(*_SM_COLUMNS)
 
@@ -234,7 +238,8 @@ def jn_type_methods(f: Facts) -> DataFrame:
         UNION ALL SELECT to_symbol_key, from_symbol_key, 2, 'reference', file_path, line FROM rf_c WHERE from_symbol_key <> '') u JOIN sym_c s ON s.symbol_key = u.by_key
       UNION ALL SELECT l.symbol_key, 3, 'test', t.file_path, t.line, t.name FROM (SELECT DISTINCT symbol_key, test_key FROM tl_c) l JOIN ts_c t ON t.test_key = l.test_key)
     SELECT symbol_key, source, label, file_path, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol_key ORDER BY source_rank, label, file_path, line) AS rank FROM ev
-      WHERE symbol_key IN (SELECT symbol_key FROM sym_c)) WHERE rank <= 3"""
+      WHERE symbol_key IN (SELECT symbol_key FROM sym_c)) WHERE rank <= 3""",
+    settle=True,
 )
 def win_evidence_top3(f: Facts) -> DataFrame:
     return graph.provenance(f, f.at("symbols").select("symbol_key")).select("symbol_key", "source", "label", "file_path", "line", "rank")
@@ -349,7 +354,7 @@ _FO = f"""{_PM_ALL}, fo AS (SELECT import_path, {', '.join(f'coalesce(o.{c}, 0)
 foc AS (SELECT * FROM fo WHERE {' OR '.join(f'from_{c} <> to_{c}' for c in delta.PACKAGE_COUNTS)})"""
 
 
-@facts_query(f"{_FO} SELECT * FROM foc")
+@facts_query(f"{_FO} SELECT * FROM foc", settle=True)
 def fo_packages(f: Facts) -> DataFrame:
     return delta.changed_packages(f, f.previous, f.current)
 
@@ -376,12 +381,12 @@ def _impact_sql() -> str:
     imp AS (SELECT *, blast_radius + CASE status WHEN 'added' THEN 12 WHEN 'removed' THEN 12 WHEN 'changed' THEN 8 ELSE 0 END + CASE WHEN contract_changed THEN 8 ELSE 0 END + CASE WHEN moved THEN 4 ELSE 0 END AS delta_score FROM im)"""
 
 
-@facts_query(f"{_impact_sql()} SELECT * FROM imp")
+@facts_query(f"{_impact_sql()} SELECT * FROM imp", settle=True)
 def agg_impacted_symbols(f: Facts) -> DataFrame:
     return delta.impacted_symbols(f, f.previous, f.current)
 
 
-@facts_query(f"{_impact_sql()} SELECT qname, status, blast_radius, delta_score FROM imp ORDER BY delta_score DESC, qname LIMIT 20")
+@facts_query(f"{_impact_sql()} SELECT qname, status, blast_radius, delta_score FROM imp ORDER BY delta_score DESC, qname LIMIT 20", settle=True)
 def top_impacted(f: Facts) -> DataFrame:
     rows = delta.impacted_symbols(f, f.previous, f.current)
     return rows.select("qname", "status", "blast_radius", "delta_score").orderBy(F.desc("delta_score"), "qname").limit(20)
@@ -498,7 +503,8 @@ def rec_snapshot_chain(f: Facts) -> DataFrame:
       UNION SELECT package_import_path, 'transitive caller' FROM wn
       UNION SELECT s.package_import_path, 'inbound reference' FROM rf_c r JOIN sym_c s ON s.symbol_key = r.from_symbol_key WHERE r.to_symbol_key = (SELECT k FROM anchor) AND r.from_symbol_key <> ''
       UNION SELECT from_package_import_path, 'reverse package dependency' FROM pd_c WHERE to_package_import_path = (SELECT package_import_path FROM sym_c WHERE symbol_key = (SELECT k FROM anchor)))
-    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1"""
+    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1""",
+    settle=True,
 )
 def set_blast_packages(f: Facts) -> DataFrame:
     return graph.blast_packages(f, f.busiest_symbol())
@@ -508,7 +514,8 @@ def set_blast_packages(f: Facts) -> DataFrame:
     """, bl AS (SELECT c.file_path AS label, 'call site' AS why FROM ce_c c JOIN sym_c s ON s.symbol_key = c.caller_symbol_key WHERE c.callee_symbol_key = (SELECT k FROM anchor)
       UNION SELECT r.file_path, 'reference site' FROM rf_c r JOIN sym_c s ON s.symbol_key = r.from_symbol_key WHERE r.to_symbol_key = (SELECT k FROM anchor) AND r.from_symbol_key <> ''
       UNION SELECT t.file_path, 'related test' FROM tl_c l JOIN ts_c t ON t.test_key = l.test_key WHERE l.symbol_key = (SELECT k FROM anchor))
-    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1"""
+    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1""",
+    settle=True,
 )
 def set_blast_files(f: Facts) -> DataFrame:
     return graph.blast_files(f, f.busiest_symbol())
@@ -558,19 +565,20 @@ def _top_symbols(kinds: str, weights: dict[str, int], cte: str) -> str:
 _TOP = f"{_SM}{_TOUCHED}, {_top_symbols(chr(39) + 'func' + chr(39) + ', ' + chr(39) + 'method' + chr(39), FUNCTION_WEIGHTS, 'tf')}, {_top_symbols(', '.join(repr(k) for k in ('struct', 'interface', 'type', 'alias', 'class')), TYPE_WEIGHTS, 'tt')}"
 
 
-@facts_query(f"{_TOP} SELECT symbol_key, qname, graph_score, score FROM tf")
+@facts_query(f"{_TOP} SELECT symbol_key, qname, graph_score, score FROM tf", settle=True)
 def top_functions(f: Facts) -> DataFrame:
     return rank.top_functions(f).select("symbol_key", "qname", "graph_score", "score")
 
 
-@facts_query(f"{_TOP} SELECT symbol_key, qname, graph_score, score FROM tt")
+@facts_query(f"{_TOP} SELECT symbol_key, qname, graph_score, score FROM tt", settle=True)
 def top_types(f: Facts) -> DataFrame:
     return rank.top_types(f).select("symbol_key", "qname", "graph_score", "score")
 
 
 @facts_query(
     f"""{_PM}{_FO}, tp AS (SELECT * FROM pm ORDER BY reverse_deps DESC, symbol_count DESC, test_count DESC, import_path LIMIT 32)
-    SELECT import_path, importance, importance + CASE WHEN import_path IN (SELECT import_path FROM foc) THEN 5 ELSE 0 END AS score FROM tp ORDER BY score DESC, import_path LIMIT 8"""
+    SELECT import_path, importance, importance + CASE WHEN import_path IN (SELECT import_path FROM foc) THEN 5 ELSE 0 END AS score FROM tp ORDER BY score DESC, import_path LIMIT 8""",
+    settle=True,
 )
 def top_packages(f: Facts) -> DataFrame:
     return rank.top_packages(f).select("import_path", "importance", "score")
@@ -579,7 +587,7 @@ def top_packages(f: Facts) -> DataFrame:
 _FILES = f"{_FS}{_TOUCHED}, sf0 AS (SELECT *, {_weights(rank.FILE_WEIGHTS)} AS graph_score, {_boost('rel_path', 'package_import_path')} AS change_boost FROM fs), sf AS (SELECT *, graph_score + {_entry('rel_path')} + change_boost AS quality_score FROM sf0)"
 
 
-@facts_query(f"{_FILES} SELECT rel_path, graph_score, quality_score FROM sf ORDER BY quality_score DESC, rel_path LIMIT 8")
+@facts_query(f"{_FILES} SELECT rel_path, graph_score, quality_score FROM sf ORDER BY quality_score DESC, rel_path LIMIT 8", settle=True)
 def top_files(f: Facts) -> DataFrame:
     return rank.top_files(f).select("rel_path", "graph_score", "quality_score")
 
@@ -591,12 +599,12 @@ rk AS (SELECT *, coalesce(nullif(concat_ws(' | ', CASE WHEN hot_score >= 36 THEN
   CASE WHEN recent AND {_WEAK} THEN 'recent+weak-tests' WHEN recent THEN 'recent' WHEN {_WEAK} THEN 'weak-test-link' END), ''), 'contained') AS risk FROM rk0)"""
 
 
-@facts_query(f"{_RISK} SELECT rel_path, hot_score, coverage, risk FROM rk")
+@facts_query(f"{_RISK} SELECT rel_path, hot_score, coverage, risk FROM rk", settle=True)
 def lb_risk_file(f: Facts) -> DataFrame:
     return rank.risky_files(f).select("rel_path", "hot_score", "coverage", "risk")
 
 
-@facts_query(f"{_RISK} SELECT rel_path, hot_score, coverage FROM rk WHERE recent AND NOT is_test AND contains(risk, 'weak-test') ORDER BY hot_score DESC, coverage, rel_path LIMIT 6")
+@facts_query(f"{_RISK} SELECT rel_path, hot_score, coverage FROM rk WHERE recent AND NOT is_test AND contains(risk, 'weak-test') ORDER BY hot_score DESC, coverage, rel_path LIMIT 6", settle=True)
 def top_weak_areas(f: Facts) -> DataFrame:
     return rank.weak_areas(f).select("rel_path", "hot_score", "coverage")
 
@@ -606,23 +614,23 @@ _SRISK = """concat_ws(' | ', CASE WHEN tot >= 12 THEN 'blast=high' WHEN tot >= 5
 _RANKED = f"{_TOP}, rs AS (SELECT *, coalesce(nullif({_SRISK}, ''), 'contained') AS risk FROM (SELECT *, caller_count + reference_count + test_count + reverse_package_deps AS tot FROM (SELECT * FROM tf UNION ALL SELECT * FROM tt)))"
 
 
-@facts_query(f"{_RANKED} SELECT symbol_key, score, risk FROM rs")
+@facts_query(f"{_RANKED} SELECT symbol_key, score, risk FROM rs", settle=True)
 def lb_risk_ranked_symbol(f: Facts) -> DataFrame:
     return rank.ranked_with_risk(f).select("symbol_key", "score", "risk")
 
 
-@facts_query(f"{_RANKED} SELECT symbol_key, risk FROM rs WHERE risk <> 'contained' AND (contains(risk, 'blast=') OR contains(risk, 'hotspot') OR contains(risk, 'tests=thin') OR contains(risk, 'pkg-rdeps'))")
+@facts_query(f"{_RANKED} SELECT symbol_key, risk FROM rs WHERE risk <> 'contained' AND (contains(risk, 'blast=') OR contains(risk, 'hotspot') OR contains(risk, 'tests=thin') OR contains(risk, 'pkg-rdeps'))", settle=True)
 def slice_risky(f: Facts) -> DataFrame:
     r = F.col("risk")
     return rank.ranked_with_risk(f).where((r != "contained") & (r.contains("blast=") | r.contains("hotspot") | r.contains("tests=thin") | r.contains("pkg-rdeps"))).select("symbol_key", "risk")
 
 
-@facts_query(f"{_RANKED} SELECT symbol_key, risk FROM rs WHERE contains(risk, 'seam')")
+@facts_query(f"{_RANKED} SELECT symbol_key, risk FROM rs WHERE contains(risk, 'seam')", settle=True)
 def slice_seams(f: Facts) -> DataFrame:
     return rank.ranked_with_risk(f).where(F.col("risk").contains("seam")).select("symbol_key", "risk")
 
 
-@facts_query(f"{_RANKED} SELECT symbol_key, score FROM rs WHERE test_count = 0 AND score >= 7 ORDER BY score DESC, {_SORT} LIMIT 6")
+@facts_query(f"{_RANKED} SELECT symbol_key, score FROM rs WHERE test_count = 0 AND score >= 7 ORDER BY score DESC, {_SORT} LIMIT 6", settle=True)
 def top_thin_symbols(f: Facts) -> DataFrame:
     return rank.thin_symbols(f).select("symbol_key", "score")
 
@@ -630,23 +638,23 @@ def top_thin_symbols(f: Facts) -> DataFrame:
 _PRISK = "concat_ws(' | ', CASE WHEN reverse_deps >= 3 THEN 'rdeps=' || reverse_deps END, CASE WHEN local_deps > 0 AND reverse_deps > 0 THEN 'seam' END, CASE WHEN test_count = 0 AND (reverse_deps >= 2 OR symbol_count >= 6) THEN 'tests=thin' END, CASE WHEN file_count >= 5 OR symbol_count >= 10 THEN 'wide-surface' END)"
 
 
-@facts_query(f"{_PM} SELECT import_path, coalesce(nullif({_PRISK}, ''), 'contained') AS risk FROM pm")
+@facts_query(f"{_PM} SELECT import_path, coalesce(nullif({_PRISK}, ''), 'contained') AS risk FROM pm", settle=True)
 def lb_risk_package(f: Facts) -> DataFrame:
     return metrics.package_metrics(f).select("import_path", rank.package_risk().alias("risk"))
 
 
-@facts_query(f"{_PM} SELECT import_path FROM pm WHERE contains({_PRISK}, 'tests=thin')")
+@facts_query(f"{_PM} SELECT import_path FROM pm WHERE contains({_PRISK}, 'tests=thin')", settle=True)
 def slice_low_tested(f: Facts) -> DataFrame:
     return metrics.package_metrics(f).where(rank.package_risk().contains("tests=thin")).select("import_path")
 
 
-@facts_query(f"{_SM} SELECT symbol_key, caller_count + reference_count + test_count + reverse_package_deps AS total, CASE WHEN total >= 12 THEN 'high' WHEN total >= 5 THEN 'medium' ELSE 'low' END AS impact, CASE WHEN package_importance >= 18 THEN 'high' WHEN package_importance >= 7 THEN 'medium' ELSE 'low' END AS importance FROM sm")
+@facts_query(f"{_SM} SELECT symbol_key, caller_count + reference_count + test_count + reverse_package_deps AS total, CASE WHEN total >= 12 THEN 'high' WHEN total >= 5 THEN 'medium' ELSE 'low' END AS impact, CASE WHEN package_importance >= 18 THEN 'high' WHEN package_importance >= 7 THEN 'medium' ELSE 'low' END AS importance FROM sm", settle=True)
 def lb_impact(f: Facts) -> DataFrame:
     total = F.col("caller_count") + F.col("reference_count") + F.col("test_count") + F.col("reverse_package_deps")
     return metrics.symbol_metrics(f).select("symbol_key", total.alias("total"), rank.impact_label(total).alias("impact"), rank.importance_label(F.col("package_importance")).alias("importance"))
 
 
-@facts_query(f"{_SM} SELECT symbol_key, {_weights(rank.RELEVANCE_WEIGHTS)} + CASE kind WHEN 'method' THEN 9 WHEN 'func' THEN 8 WHEN 'struct' THEN 7 WHEN 'class' THEN 7 WHEN 'interface' THEN 6 WHEN 'type' THEN 6 WHEN 'alias' THEN 6 ELSE 2 END AS relevance FROM sm")
+@facts_query(f"{_SM} SELECT symbol_key, {_weights(rank.RELEVANCE_WEIGHTS)} + CASE kind WHEN 'method' THEN 9 WHEN 'func' THEN 8 WHEN 'struct' THEN 7 WHEN 'class' THEN 7 WHEN 'interface' THEN 6 WHEN 'type' THEN 6 WHEN 'alias' THEN 6 ELSE 2 END AS relevance FROM sm", settle=True)
 def sc_relevance(f: Facts) -> DataFrame:
     return metrics.symbol_metrics(f).select("symbol_key", (rank.weighted(rank.RELEVANCE_WEIGHTS) + rank.lookup("kind", rank.KIND_BOOST, 2)).alias("relevance"))
 
@@ -658,14 +666,14 @@ def lb_timing_bottleneck(f: Facts) -> DataFrame:
     return f.raw("snapshots").select("id", label.alias("bottleneck"))
 
 
-@facts_query(f"{_SM} SELECT file_path, symbol_key, n FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY {_weights(FUNCTION_WEIGHTS)} DESC, line, {_SORT}) AS n FROM sm) WHERE n <= 4")
+@facts_query(f"{_SM} SELECT file_path, symbol_key, n FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY {_weights(FUNCTION_WEIGHTS)} DESC, line, {_SORT}) AS n FROM sm) WHERE n <= 4", settle=True)
 def win_file_first4(f: Facts) -> DataFrame:
     order = Window.partitionBy("file_path").orderBy(F.desc("_w"), "line", "qname", "symbol_key")
     rows = metrics.symbol_metrics(f).withColumn("_w", rank.weighted(FUNCTION_WEIGHTS)).withColumn("n", F.row_number().over(order))
     return rows.where("n <= 4").select("file_path", "symbol_key", "n")
 
 
-@facts_query(f"{_SM}, u AS (SELECT symbol_key, {_weights(FUNCTION_WEIGHTS)} AS score FROM sm UNION ALL SELECT symbol_key, {_weights(TYPE_WEIGHTS)} FROM sm) SELECT symbol_key, max(score) AS score FROM u GROUP BY 1")
+@facts_query(f"{_SM}, u AS (SELECT symbol_key, {_weights(FUNCTION_WEIGHTS)} AS score FROM sm UNION ALL SELECT symbol_key, {_weights(TYPE_WEIGHTS)} FROM sm) SELECT symbol_key, max(score) AS score FROM u GROUP BY 1", settle=True)
 def win_best_per_key(f: Facts) -> DataFrame:
     rows = metrics.symbol_metrics(f)
     both = rows.select("symbol_key", rank.weighted(FUNCTION_WEIGHTS).alias("score")).unionAll(rows.select("symbol_key", rank.weighted(TYPE_WEIGHTS).alias("score")))
@@ -679,12 +687,12 @@ def win_page(f: Facts) -> DataFrame:
     return mine.select("symbol_key", F.floor(place / 28).alias("page"))
 
 
-@facts_query()
+@facts_query(settle=True)
 def top_tests_guidance(f: Facts) -> DataFrame:
     return graph.test_guidance(f, f.busiest_symbol())
 
 
-@facts_query(f"{_TOP}, u AS (SELECT * FROM tf UNION ALL SELECT * FROM tt) SELECT file_path, sum(score)::BIGINT AS score, arg_min(symbol_key, (line, symbol_key)) AS symbol_key FROM u GROUP BY 1")
+@facts_query(f"{_TOP}, u AS (SELECT * FROM tf UNION ALL SELECT * FROM tt) SELECT file_path, sum(score)::BIGINT AS score, arg_min(symbol_key, (line, symbol_key)) AS symbol_key FROM u GROUP BY 1", settle=True)
 def vw_landing_hot(f: Facts) -> DataFrame:
     both = rank.top_functions(f).unionByName(rank.top_types(f))
     return both.groupBy("file_path").agg(F.sum("score").alias("score"), F.min_by("symbol_key", F.struct("line", "symbol_key")).alias("symbol_key"))
@@ -723,7 +731,8 @@ _KIND_SQL = "CASE match_kind WHEN 'exact' THEN 0 WHEN 'name' THEN 1 WHEN 'prefix
 @facts_query(
     f"""{_SM}{_score_sql(SYMBOL_QUERY)}, s3 AS (SELECT *, CASE kind WHEN 'method' THEN 9 WHEN 'func' THEN 8 WHEN 'struct' THEN 7 WHEN 'class' THEN 7 WHEN 'interface' THEN 6 WHEN 'type' THEN 6 WHEN 'alias' THEN 6 ELSE 2 END AS boost,
       {_weights(rank.RELEVANCE_WEIGHTS)} + boost AS relevance FROM s2 WHERE score > 0)
-    SELECT symbol_key, qname, match_kind, score, relevance FROM s3 ORDER BY {_KIND_SQL}, score DESC, relevance DESC, package_importance DESC, boost DESC, kind, line, qname, symbol_key LIMIT 40"""
+    SELECT symbol_key, qname, match_kind, score, relevance FROM s3 ORDER BY {_KIND_SQL}, score DESC, relevance DESC, package_importance DESC, boost DESC, kind, line, qname, symbol_key LIMIT 40""",
+    settle=True,
 )
 def sr_find_symbols(f: Facts) -> DataFrame:
     return search.find_symbols(f, SYMBOL_QUERY)
@@ -733,7 +742,8 @@ def sr_find_symbols(f: Facts) -> DataFrame:
     f"""{_PM}, m AS (SELECT *, CASE WHEN lower(import_path) = '{PACKAGE_QUERY}' THEN 1200 WHEN lower(name) = '{PACKAGE_QUERY}' THEN 1150 WHEN suffix(lower(import_path), '/{PACKAGE_QUERY}') THEN 1100 WHEN prefix(lower(import_path), '{PACKAGE_QUERY}') THEN 1000
       WHEN prefix(lower(name), '{PACKAGE_QUERY}') THEN 975 WHEN contains(lower(import_path), '{PACKAGE_QUERY}') THEN 875 WHEN contains(lower(name), '{PACKAGE_QUERY}') THEN 850 ELSE 0 END AS score FROM pm),
     m2 AS (SELECT import_path, CASE WHEN score = 1200 THEN 'exact' WHEN score >= 1100 THEN 'name' WHEN score >= 975 THEN 'prefix' ELSE 'contains' END AS match_kind, score FROM m WHERE score > 0)
-    SELECT * FROM m2 ORDER BY {_KIND_SQL}, score DESC, import_path LIMIT 40"""
+    SELECT * FROM m2 ORDER BY {_KIND_SQL}, score DESC, import_path LIMIT 40""",
+    settle=True,
 )
 def sr_find_packages(f: Facts) -> DataFrame:
     return search.find_packages(f, PACKAGE_QUERY)
@@ -759,7 +769,7 @@ def sr_regex(f: Facts) -> DataFrame:
     return search.text_lines(f.raw("scan_files"), ["project", "rel_path"], TEXT_PATTERN, regex=True).select("project", "rel_path", "line", "col")
 
 
-@facts_query()
+@facts_query(settle=True)
 def sr_rank(f: Facts) -> DataFrame:
     found = search.text_lines(f.raw("scan_files").dropDuplicates(["project", "rel_path"]), ["project", "rel_path"], TEXT_QUERY).select(F.concat_ws("/", "project", "rel_path").alias("rel_path"), "line", "col")
     files = metrics.file_summaries(f).join(metrics.package_metrics(f).select(F.col("import_path").alias("package_import_path"), "importance"), "package_import_path", "left")

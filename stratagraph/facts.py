@@ -130,7 +130,7 @@ class Facts:
     def _large(self, name: str) -> bool:
         table = SOURCES.get(name, (name,))[0]
         plan = self.raw({"calls": "call_edges"}.get(table, table))._jdf.queryExecution().optimizedPlan()
-        return int(plan.stats().sizeInBytes().toString()) >= SETTLE_BYTES
+        return int(str(plan.stats().sizeInBytes())) >= SETTLE_BYTES
 
     def _slice(self, name: str, sid: int) -> DataFrame:
         """A table of one snapshot; derived tables come from the slices of their sources."""

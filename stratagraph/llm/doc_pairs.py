@@ -69,7 +69,7 @@ def extract(text: str | None) -> list[tuple[str, str, str | None]]:
     found, at = [], 0
     while m := pattern.search(text, at):
         found.append((m["name"], " ".join(m["sig"].split()), m["doc"]))
-        at = m.start("body") + 1 if m.start("body") >= 0 else m.end()  # nested functions are found too
+        at = m.start("body")  # functions within functions are found too
     return found
 
 

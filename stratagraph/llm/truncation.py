@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import regex
 import xxhash
@@ -198,9 +199,14 @@ def _endings(documents: DataFrame) -> DataFrame:
 # -- pass 2: how often a context ends something ------------------------------------------------
 
 
-def _load_filter(path: str) -> np.ndarray:
+def _read(path: str) -> pa.Table:
+    """A small table of the shared folder, read by a worker."""
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    table = pq.read_table(inner, filesystem=system)
+    return pq.read_table(inner, filesystem=system)
+
+
+def _load_filter(path: str) -> np.ndarray:
+    table = _read(path)
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for number, part in zip(table["part"].to_pylist(), table["bits"].to_pylist()):
         bits[(number - 1) * 4096 : number * 4096] |= np.frombuffer(part, dtype=np.uint8)
@@ -221,21 +227,26 @@ def _write_filter(endings: DataFrame) -> str:
 FINAL = 2
 
 
-def count_contexts(text: str, counters: list[Counter]) -> None:
+def count_contexts(text: str, counters: list[Counter], at_limit: bool = False) -> None:
+    """Count the contexts of a text; where a field limit ends it, its last word witnesses nothing."""
     words, ends = tokens(without_mark(clean(text).rstrip()))
     keep = [(w, e) for w, e in zip(words, ends) if w != "\n"]
     if not keep:
         return
     words, ends = [w for w, _ in keep], [e for _, e in keep]
     ends[-1] = FINAL
+    if at_limit:
+        words, ends = words[:-1], ends[:-1]
     counters[2].update(zip(words, ends))
     counters[1].update(zip(zip(words, words[1:]), ends[1:]))
     counters[0].update(zip(zip(words, words[1:], words[2:]), ends[2:]))
 
 
-def _counts(documents: DataFrame, filter_path: str) -> DataFrame:
+def _counts(documents: DataFrame, filter_path: str, limits_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = _load_filter(filter_path)
+        table = _read(limits_path)
+        limits = set(zip(*(table[c].to_pylist() for c in ("source", "unit", "length"))))
         counters = [Counter(), Counter(), Counter()]
 
         def flush() -> pd.DataFrame:
@@ -252,14 +263,13 @@ def _counts(documents: DataFrame, filter_path: str) -> DataFrame:
             return pd.DataFrame([(h, *row) for h, row in rows.items()], columns=["h", "n", "e", "f"])
 
         for batch in batches:
-            for text in batch["text"]:
-                if text is not None:
-                    count_contexts(text, counters)
+            for text, source in zip(batch["text"], batch["source"]):
+                count_contexts(text, counters, bool(limits) and ((source, "chars", len(text)) in limits or (source, "bytes", len(text.encode())) in limits))
                 if len(counters[0]) > CHUNK_CONTEXTS:
                     yield flush()
         yield flush()
 
-    partial = spread(documents.select("text").where("text IS NOT NULL")).mapInPandas(run, "h long, n long, e long, f long")
+    partial = spread(documents.select("text", "source").where("text IS NOT NULL")).mapInPandas(run, "h long, n long, e long, f long")
     return partial.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "e", "f")])
 
 
@@ -325,8 +335,10 @@ def judged(documents: DataFrame) -> DataFrame:
     copies = ends.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("source").alias("_s"))
     lengths = ends.select("source", "text_hash", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
     distinct = lengths.select("source", "text_hash", "x.unit", "x.length").distinct()
-    limits = stage(significant_lengths(distinct), "limits")
-    counts = stage(_counts(documents, _write_filter(ends)), "ending-counts")
+    limits_path = new_path(documents.sparkSession, "limits")
+    significant_lengths(distinct).write.parquet(limits_path)
+    limits = documents.sparkSession.read.parquet(limits_path)
+    counts = stage(_counts(documents, _write_filter(ends), limits_path), "ending-counts")
     rows = ends.join(copies.drop("_s"), "text_hash")
     for k in (3, 2, 1):
         rows = rows.join(counts.select(F.col("h").alias(f"h{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "e", "f")]), f"h{k}", "left")
@@ -334,19 +346,19 @@ def judged(documents: DataFrame) -> DataFrame:
         mine = limits.where(F.col("unit") == unit).select(F.col("source").alias("_source"), F.col("length").alias("_length"), F.lit(True).alias(f"limit_{unit}"))
         rows = rows.join(mine, F.col("source").eqNullSafe(F.col("_source")) & (F.col(column) == F.col("_length")), "left").drop("_source", "_length")
     at_limit = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))
-    rows = rows.join(F.broadcast(copies.agg(F.count(F.lit(1)).alias("texts"))))  # one row
+    rows = rows.join(F.broadcast(copies.agg(F.count(F.lit(1)).alias("texts")))).withColumn("at_limit", at_limit)  # one row
     share = None
     for k, least in zip((3, 2, 1), WITNESSES):
-        # without the text's own end, which lies inside it where a full stop follows
-        n = F.col(f"n{k}") - F.col("copies")
-        inside = F.col(f"e{k}") - F.col(f"f{k}") - F.when(F.col("own_inside"), F.col("copies")).otherwise(F.lit(0))
-        final = F.col(f"f{k}") - F.when(F.col("own_inside"), F.lit(0)).otherwise(F.col("copies"))
+        # without the text's own end: it lies inside the text where a full stop follows, and was not counted at a limit
+        inner = F.when(F.col("own_inside"), F.col("copies")).otherwise(F.lit(0))
+        last = F.when(F.col("own_inside") | F.col("at_limit"), F.lit(0)).otherwise(F.col("copies"))
+        n, inside, final = F.col(f"n{k}") - inner - last, F.col(f"e{k}") - F.col(f"f{k}") - inner, F.col(f"f{k}") - last
         known = F.when(n >= least, (inside + F.when(final >= END_WITNESSES * F.col("texts"), final).otherwise(F.lit(0))) / n)
         share = known if share is None else F.coalesce(share, known)
     fragment = (F.coalesce("n1", F.lit(0)) <= F.coalesce("f1", F.lit(0))) & (
-        F.coalesce("f1", F.lit(0)) - F.col("copies") < F.when(F.col("last_length") <= 3, F.lit(WORD_ENDS[0])).otherwise(F.lit(WORD_ENDS[1])) * F.col("texts")
-    )
-    rows = rows.withColumn("at_limit", at_limit).withColumn("share", F.when(fragment, F.lit(0.0)).otherwise(share))
+        F.coalesce("f1", F.lit(0)) - F.when(F.col("at_limit"), F.lit(0)).otherwise(F.col("copies")) < F.when(F.col("last_length") <= 3, F.lit(WORD_ENDS[0])).otherwise(F.lit(WORD_ENDS[1])) * F.col("texts")
+    )  # at a limit the own end is not among them
+    rows = rows.withColumn("share", F.when(fragment, F.lit(0.0)).otherwise(share))
     # number lists that end at a length: fillers there mean that the authors filled the field
     fills = rows.where("filler IS NOT NULL AND at_limit").groupBy("source", "n_chars").agg((F.avg("filler") >= 0.8).alias("filled")).withColumnRenamed("source", "_source").withColumnRenamed("n_chars", "_n")
     rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")), "left").drop("_source", "_n")

@@ -74,11 +74,11 @@ def filled_line_count(c: Column | str) -> Column:
 
 
 def human_size(c: Column | str) -> Column:
-    """Bytes with a unit of 1024: '512 B', '1.5 KB'."""
+    """Bytes with a unit of 1024: '512 B', '1.5 KB'; halves of a tenth go to the even one."""
     size = _col(c).cast("double")
     out = F.concat(F.format_string("%.0f", size), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(size >= 1024.0**power, F.concat(F.format_string("%.1f", size / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024.0**power, F.concat(F.format_string("%.1f", F.rint(size / 1024.0**power * 10) / 10), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -143,7 +143,9 @@ _RUST_FOR = re.compile(r"\bfor\s+(?:&\s*)?([A-Za-z_]\w*)")
 _GO_ITEM = re.compile(r"^func\s+(?:\((?:\w+\s+)?(?P<recv>\*?\w+)(?:\[[^\]]*\])?\)\s*)?(?P<name>\w+)(?P<rest>[^{\n]*)|^type\s+(?P<type>\w+)\s+(?P<what>struct|interface|=\s*\S+|\S+)", re.M)
 _CALL = re.compile(r"(?<![\w.:!])((?:[A-Za-z_]\w*(?:::|\.))*[A-Za-z_]\w*)\s*\(")
 _STRIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|`[^`]*`|'(?:\\.|[^'\\\n])'", re.S)
-_KEYWORDS = {"if", "for", "while", "match", "switch", "return", "func", "fn", "loop", "range", "go", "defer", "select", "case", "let", "mut", "append", "len", "make", "new", "panic", "Some", "Ok", "Err", "None", "vec", "Box"}
+#: Words before a bracket that call nothing of the project (fixed values).
+_RUST_WORDS = {"if", "for", "while", "match", "return", "fn", "loop", "let", "mut", "move", "in", "Some", "Ok", "Err", "Box"}
+_GO_WORDS = {"if", "for", "switch", "return", "func", "range", "go", "defer", "select", "case", "append", "len", "cap", "make", "new", "panic", "copy", "delete", "close", "string", "int", "byte", "error"}
 
 
 def _blank(text: str) -> str:
@@ -196,7 +198,7 @@ def rust_facts(path: str, text: str, package: str) -> tuple[list[tuple], list[tu
             end = _body_end(bare, m.end())
             for c in _CALL.finditer(bare, m.end(), end):
                 parts = c[1].replace(".", "::").split("::")
-                if parts[-1] not in _KEYWORDS:
+                if parts[-1] not in _RUST_WORDS:
                     l, k = _at(bare, c.start(1))
                     tail = "::".join(parts[-2:]) if len(parts) > 1 and parts[0] not in ("self", "Self") else f"{owner}::{parts[-1]}" if parts[0] in ("self", "Self") else parts[-1]
                     uses.append((key, scope, path, l, k, "call", [f"{scope}::{tail}", "::".join(parts)]))
@@ -224,7 +226,7 @@ def go_facts(path: str, text: str, package: str) -> tuple[list[tuple], list[tupl
         if m["name"]:
             for c in _CALL.finditer(bare, m.end(), _body_end(bare, m.end())):
                 parts = c[1].split(".")
-                if parts[-1] in _KEYWORDS:
+                if parts[-1] in _GO_WORDS:
                     continue
                 l, k = _at(bare, c.start(1))
                 targets = [f"{package}.{parts[0]}"] if len(parts) == 1 else [f"{imports[parts[0]]}.{parts[1]}"] if len(parts) == 2 and parts[0] in imports else []

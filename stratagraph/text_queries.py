@@ -210,11 +210,17 @@ def inc_detect(f: Facts) -> DataFrame:
     return incremental.file_changes(now, before).select("rel_path", "change", "package_import_path")
 
 
-@facts_query("SELECT 'full' AS plan_mode WHERE false UNION ALL SELECT 'incremental'")
+_MANIFESTS = ", ".join(f"'{m}'" for m in incremental.MANIFESTS)
+
+
+@facts_query(
+    f"""SELECT DISTINCT coalesce(nullif(o.package_import_path, ''), n.package_import_path) AS import_path FROM fl_c n FULL JOIN (SELECT * FROM fl WHERE snapshot_id = (SELECT id FROM prv)) o ON n.rel_path = o.rel_path
+    WHERE (n.rel_path IS NULL OR o.rel_path IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash) AND regexp_extract(coalesce(n.rel_path, o.rel_path), '([^/]*)$', 1) NOT IN ({_MANIFESTS}) AND import_path <> ''"""
+)
 def inc_plan(f: Facts) -> DataFrame:
     now, before = (f.at("files", s).withColumnRenamed("content_hash", "hash") for s in (f.current, f.previous))
     plan = incremental.detect(now, before)
-    return f.spark.createDataFrame([("full" if plan.full else "incremental",)], "plan_mode string")
+    return f.spark.createDataFrame([(p,) for p in plan.packages], "import_path string")
 
 
 @query("SELECT rel_path, regexp_replace(replace(rel_path, chr(92), '/'), '^(\\./+)+', '') AS clean FROM (SELECT DISTINCT rel_path FROM files)")

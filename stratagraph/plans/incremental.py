@@ -6,27 +6,40 @@ the few manifest rows of that difference on the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..sources import manifests
 
 CHECKSUM_FILES = {"go.sum", "Cargo.lock", "poetry.lock"}
 MANIFESTS = (*manifests.PARSERS, *CHECKSUM_FILES)
-#: Most packages that a plan names one by one; a change beyond is a full pass.
-MAX_PACKAGES = 100_000
 
 
-@dataclass
 class Plan:
-    """Changed paths by kind, impacted packages, and why."""
+    """Changed paths by kind, impacted packages, and why.
 
-    full: bool = False
-    packages: list[str] = field(default_factory=list)
-    reasons: list[str] = field(default_factory=list)
-    deltas: list[dict] = field(default_factory=list)
+    ``touched`` (import_path) holds the impacted packages, however many; it is
+    read from the two listings when it is used.  ``scoped`` says whether there
+    are any.
+    """
+
+    def __init__(self, full: bool = False, packages: list[str] | None = None, reasons: list[str] | None = None, deltas: list[dict] | None = None) -> None:
+        self.full, self.scoped, self.everything = full, bool(packages), False
+        self.reasons, self.deltas = reasons or [], deltas or []
+        self.touched: DataFrame | None = None
+        if packages is not None:
+            self.packages = packages
+
+    @cached_property
+    def packages(self) -> list[str]:
+        """All impacted packages on the driver, for callers that name them one by one."""
+        return [] if self.touched is None else sorted(r[0] for r in self.touched.collect())
+
+    def impacted(self, spark: SparkSession) -> DataFrame:
+        """All impacted packages: import_path."""
+        return spark.createDataFrame([(p,) for p in self.packages], "import_path string") if self.touched is None else self.touched
 
     @property
     def reason(self) -> str:
@@ -47,26 +60,32 @@ def file_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def detect(current: DataFrame, previous: DataFrame) -> Plan:
-    """The plan of a refresh; an empty previous listing means everything."""
+    """The plan of a refresh; an empty previous listing means everything.
+
+    Where a plan is full or a manifest concerns all packages, all of both listings are touched.
+    """
+    owners = current.select("package_import_path").union(previous.select("package_import_path"))
+    everything = owners.select(T.trimmed("package_import_path").alias("import_path")).where("import_path <> ''").distinct()
     if previous.isEmpty():
-        return Plan(full=True, reasons=["no previous snapshot"])
+        plan = Plan(full=True, reasons=["no previous snapshot"])
+        plan.touched, plan.scoped = everything, not everything.isEmpty()
+        return plan
     changes = file_changes(current, previous)
     name = T.base_name("rel_path")
     plan = Plan()
     for row in changes.where(name.isin(*MANIFESTS)).orderBy("rel_path").collect():  # manifests: a few per project
         decide(plan, row.rel_path, row.change, manifests.decode(row.old_meta), manifests.decode(row.new_meta))
     sources = changes.where(~name.isin(*MANIFESTS))
-    if not sources.where("change = 'deleted' AND package_import_path = ''").isEmpty():
+    owned = F.col("package_import_path") != ""
+    seen = sources.agg(F.bool_or((F.col("change") == "deleted") & ~owned).alias("lost"), F.bool_or(owned).alias("scoped")).first()
+    if seen.lost:
         plan.full = True
         plan.reasons.append("deleted file with unknown package")
-    touched = sources.where("package_import_path <> ''").select("package_import_path").distinct()
-    if plan.packages == ["*"]:
-        touched = current.select("package_import_path").union(previous.select("package_import_path")).where("package_import_path <> ''").distinct()
-    names = [r[0] for r in touched.limit(MAX_PACKAGES + 1).collect()]
-    if len(names) > MAX_PACKAGES:
-        plan.full = True
-    plan.packages = sorted(names)
-    if names:
+    if plan.full or plan.everything:
+        plan.touched, plan.scoped = everything, not everything.isEmpty()
+    else:
+        plan.touched, plan.scoped = sources.where(owned).select(F.col("package_import_path").alias("import_path")).distinct(), bool(seen.scoped)
+    if seen.scoped or plan.everything and plan.scoped:
         plan.reasons.append("package-scoped changes")
     if not plan.reasons:
         plan.reasons.append("no indexed file changes")
@@ -104,15 +123,19 @@ def decide(plan: Plan, path: str, change: str, old: dict, new: dict) -> None:
     if impact == "full":
         plan.full = True
     elif impact == "package":
-        plan.packages = ["*"]
+        plan.everything = True
+
+
+def expanded(plan: Plan, package_deps: DataFrame) -> DataFrame:
+    """The impacted packages and those that depend on them, one step: import_path."""
+    mine = plan.impacted(package_deps.sparkSession)
+    near = package_deps.join(mine, F.col("to_package_import_path") == F.col("import_path"), "left_semi").select(F.col("from_package_import_path").alias("import_path"))
+    return mine.union(near).distinct()
 
 
 def expand(plan: Plan, package_deps: DataFrame) -> list[str]:
-    """The impacted packages and those that depend on them, one step."""
-    spark = package_deps.sparkSession
-    mine = spark.createDataFrame([(p,) for p in plan.packages], "import_path string")
-    near = package_deps.join(F.broadcast(mine), F.col("to_package_import_path") == F.col("import_path"), "left_semi").select("from_package_import_path").distinct()
-    return sorted({*plan.packages, *(r[0] for r in near.collect())})
+    """``expanded`` on the driver, for callers that name packages one by one."""
+    return sorted(r[0] for r in expanded(plan, package_deps).collect())
 
 
 def reuse_percent(total: int, expanded: int) -> int:

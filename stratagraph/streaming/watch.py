@@ -21,7 +21,7 @@ def cycle(previous: DataFrame | None, current: DataFrame) -> tuple[str, Plan]:
     if previous is None or previous.isEmpty():
         return "bootstrap", Plan(full=True, reasons=["no previous snapshot"])
     plan = detect(current, previous)
-    return ("reindex" if plan.full else "update" if plan.packages or plan.deltas else "idle"), plan
+    return ("reindex" if plan.full else "update" if plan.scoped or plan.deltas else "idle"), plan
 
 
 def watch(spark: SparkSession, listing: Callable[[], DataFrame], last: Callable[[], DataFrame | None], commit: Callable[[str, Plan, DataFrame], None], interval: str = "2 seconds", checkpoint: str | None = None):

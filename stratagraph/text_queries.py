@@ -219,8 +219,7 @@ _MANIFESTS = ", ".join(f"'{m}'" for m in incremental.MANIFESTS)
 )
 def inc_plan(f: Facts) -> DataFrame:
     now, before = (f.at("files", s).withColumnRenamed("content_hash", "hash") for s in (f.current, f.previous))
-    plan = incremental.detect(now, before)
-    return f.spark.createDataFrame([(p,) for p in plan.packages], "import_path string")
+    return incremental.detect(now, before).impacted(f.spark)
 
 
 @query("SELECT rel_path, regexp_replace(replace(rel_path, chr(92), '/'), '^(\\./+)+', '') AS clean FROM (SELECT DISTINCT rel_path FROM files)")

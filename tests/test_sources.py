@@ -85,6 +85,19 @@ def test_plans(spark):
     assert incremental.reuse_percent(7, 2) == 71 and incremental.reuse_percent(0, 0) == 0
 
 
+def test_plans_keep_all_packages(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "MAX_PACKAGES", 10, raising=False)
+    make = lambda n, h: spark.range(n).selectExpr("concat('f', id, '.go') AS rel_path", f"'{h}' AS hash", "concat('m/', id) AS package_import_path", "'' AS semantic_meta")
+    plan = incremental.detect(make(50, "2"), make(50, "1"))
+    assert not plan.full and plan.impacted(spark).count() == 50
+    deps = spark.createDataFrame([("m/far", "m/49"), ("m/x", "m/y")], "from_package_import_path string, to_package_import_path string")
+    assert incremental.expanded(plan, deps).count() == 51
+    lost = spark.createDataFrame([("gone.go", "1", "", "")], FILES)
+    full = incremental.detect(make(50, "1"), make(50, "1").union(lost))
+    assert full.full and full.impacted(spark).count() == 50
+    assert incremental.detect(make(50, "1"), lost.limit(0)).impacted(spark).count() == 50
+
+
 PY_A = '"""m"""\nfrom pkg.b import helper as h\nimport pkg.b as other\n\n\nclass A:\n    """Holds."""\n    def run(self, x: int) -> int:\n        self.stop()\n        return h(x) + other.helper(x)\n\n    def stop(self):\n        pass\n'
 PY_B = "def helper(x):\n    return x\n"
 RS = "/// Runs.\npub fn run() -> u8 {\n    helper(\"{\");\n    Thing::make()\n}\n\nfn helper(s: &str) {}\n\npub struct Thing;\n\nimpl Thing {\n    pub fn make() -> u8 { 1 }\n}\n"

@@ -42,6 +42,10 @@ from ..workspace import new_path, spread, stage
 NEIGHBOURS = ((200, 3), (1000, 12), (1 << 62, 40))
 #: The false-discovery rate, and the fewest texts of a limit.
 RATE, FEWEST = 0.001, 6
+#: Sources of fewer texts are held against the limits of all sources too, as texts without a source are.
+SMALL = 200
+#: Fewest number lists that end at a length, and the share of fillers among them, where their authors fill the field.
+LISTS, FILLED = 3, 0.8
 #: A context's end share below which an ending is incomplete: anywhere, and at a significant length or before a mark of a cut.
 CUT_BELOW, CUT_BELOW_AT_LIMIT = 0.05, 0.9
 #: Text ends witness a context's end only if they are at least this share of all texts; fewer may be cuts at the same place.
@@ -321,6 +325,22 @@ def significant_lengths(lengths: DataFrame, neighbours: tuple[tuple[int, int], .
     return passed.withColumn("last", last).where("k <= last").select("source", "unit", "length", "d", "r", "mean", "p")
 
 
+def limits_of(lengths: DataFrame) -> DataFrame:
+    """Limits that hold for each source: source, unit, length.
+
+    ``lengths``: source, text_hash, unit, length.  Texts without a source may
+    come from any, and a source of fewer than ``SMALL`` texts can hardly show a
+    limit of its own, so at lengths they have, limits of all texts together hold.
+    """
+    own = significant_lengths(lengths).select("source", "unit", "length")
+    texts = lengths.select("text_hash", "unit", "length").distinct()
+    common = significant_lengths(texts.select(F.lit("").alias("source"), "unit", "length")).select("unit", "length")
+    few = lengths.groupBy(F.col("source").alias("_source")).agg(F.count_distinct("text_hash").alias("_texts")).where((F.col("_texts") < SMALL) | F.col("_source").isNull())
+    met = lengths.select("source", "unit", "length").distinct().join(F.broadcast(common), ["unit", "length"])
+    borrowed = met.join(few, F.col("source").eqNullSafe(F.col("_source")), "left_semi").select("source", "unit", "length")
+    return own.unionAll(borrowed).distinct()
+
+
 # -- the operator ------------------------------------------------------------------------------------
 
 
@@ -336,7 +356,7 @@ def judged(documents: DataFrame) -> DataFrame:
     lengths = ends.select("source", "text_hash", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
     distinct = lengths.select("source", "text_hash", "x.unit", "x.length").distinct()
     limits_path = new_path(documents.sparkSession, "limits")
-    significant_lengths(distinct).write.parquet(limits_path)
+    limits_of(distinct).write.parquet(limits_path)
     limits = documents.sparkSession.read.parquet(limits_path)
     counts = stage(_counts(documents, _write_filter(ends), limits_path), "ending-counts")
     rows = ends.join(copies.drop("_s"), "text_hash")
@@ -360,12 +380,12 @@ def judged(documents: DataFrame) -> DataFrame:
     )  # at a limit the own end is not among them
     rows = rows.withColumn("share", F.when(fragment, F.lit(0.0)).otherwise(share))
     # number lists that end at a length: fillers there mean that the authors filled the field
-    fills = rows.where("filler IS NOT NULL AND at_limit").groupBy("source", "n_chars").agg((F.avg("filler") >= 0.8).alias("filled")).withColumnRenamed("source", "_source").withColumnRenamed("n_chars", "_n")
+    fills = rows.where("filler IS NOT NULL AND at_limit").groupBy("source", "n_chars").agg(((F.count(F.lit(1)) >= LISTS) & (F.avg("filler") >= FILLED)).alias("filled")).withColumnRenamed("source", "_source").withColumnRenamed("n_chars", "_n")
     rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")), "left").drop("_source", "_n")
     weak = F.coalesce(F.col("share"), F.lit(0.0))
     below = F.when(F.col("at_limit") | F.col("marked"), F.lit(CUT_BELOW_AT_LIMIT)).otherwise(F.lit(CUT_BELOW))
     cut = (
-        F.when(F.col("filler").isNotNull(), F.col("at_limit") & ~F.coalesce("filled", F.lit(False)))
+        F.when(F.col("filler").isNotNull() & ~F.col("marked"), F.col("at_limit") & ~F.coalesce("filled", F.lit(False)))
         .when(F.col("sealed") & ~F.col("marked"), F.lit(False))
         .when(F.col("open"), F.lit(True))
         .otherwise(weak < below)

@@ -45,6 +45,19 @@ def test_limits(spark):
     assert t.significant_lengths(spark.createDataFrame([], "source string, unit string, length long")).collect() == []
 
 
+def test_lists_at_limits_and_marks(spark):
+    rows, _ = corpus()
+
+    numbers = sentence(random.Random(11)) + " refs #2876"
+    numbers += " #4123" * ((196 - len(numbers)) // 6)
+    numbers += "0" * (197 - len(numbers)) + " #9"  # 200 characters
+    lists = [(2000, numbers, "en", "tiny"), (2001, "Keep every row. refs #4123 #99 [truncated]", "en", "notes"), (2002, "Keep every row. refs #4123 #77", "en", "notes")]
+    got = {r.doc_id: r for r in t.judged(spark.createDataFrame(rows + lists, "doc_id long, text string, lang string, source string")).where("doc_id >= 2000").collect()}
+    assert len(numbers) == 200 and t.list_tail(numbers) == 1
+    assert got[2000].at_limit and got[2000].cut and got[2001].cut and not got[2002].cut
+    assert t.limits_of(spark.createDataFrame([], "source string, text_hash long, unit string, length long")).collect() == []
+
+
 def test_open_ends():
     assert t.leaves_open("func A() {\n\treturn f(1", "go") and not t.leaves_open("func A() {\n\t// {\n\tx := \"(\"\n}\n", "go")
     assert t.leaves_open("Text\n```sh\nrun", None) and not t.leaves_open("Text\n```sh\nrun\n```", None)

@@ -44,7 +44,9 @@ _BRACED = regex.compile(
       func[ \t]+(?:(?&paren)[ \t]*)?(?P<name>\w++)(?:(?&square))?(?&paren)[^\n{]*+
       |(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:default[ \t]+|const[ \t]+|async[ \t]+|unsafe[ \t]+|extern[ \t]+(?:"[^"\n]*"[ \t]+)?)*+fn[ \t]+(?P<name>\w++)(?:<[^({\n]*>)?(?&paren)[^{;]*+
       |(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>[\w$]++)[ \t]*(?&paren)[ \t]*
-    )(?P<body>(?&brace))""",
+      |(?:(?:export[ \t]+)?(?:const|let|var)[ \t]+|(?:[\w$]++\.)++)(?P<name>[\w$]++)[ \t]*(?::[^=\n]++)?=[ \t]*(?:async[ \t]+)?
+        (?:function[ \t]*\*?[ \t]*(?:[\w$]++[ \t]*)?(?&paren)|(?:(?&paren)(?:[ \t]*:[^=\n{]++)?|[\w$]++)[ \t]*=>)[ \t]*
+    )(?P<body>(?&brace)|(?<==>[ \t]*)[^\s{][^\n]*)""",
     _FLAGS,
 )
 #: A Python function: signature, docstring, indented body.
@@ -60,19 +62,39 @@ _UNIT = regex.compile(_DEFINES + r"\A\s*(?P<doc>(?&comment))\s*\n(?P<sig>[^\n(]*
 _PY_DEF = regex.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]", regex.M)
 
 
-def extract(text: str | None) -> list[tuple[str, str, str | None]]:
-    """(name, signature, raw documentation) of every function in a source text; null and empty texts have none."""
-    if not text:
-        return []
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    pattern = _INDENTED if _PY_DEF.search(text) else _BRACED
+#: The pattern of a file by its extension.
+_PATTERNS = {".py": _INDENTED, ".pyi": _INDENTED} | dict.fromkeys((".go", ".rs", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx"), _BRACED)
+
+
+def _captures(pattern: regex.Pattern, text: str) -> list[regex.Match]:
     found, at = [], 0
     while m := pattern.search(text, at):
-        found.append((m["name"], " ".join(m["sig"].split()), m["doc"]))
+        found.append(m)
         at = m.start("body")  # functions within functions are found too
     return found
 
 
+def extract(text: str | None, path: str | None = None) -> list[tuple[str, str, str | None]]:
+    """(name, signature, raw documentation) of every function in a source text; null and empty texts have none.
+
+    The extension of ``path`` names the pattern; the other one is used where it
+    finds nothing, as names mislead.  Without a known extension both are used,
+    the Python one outside what the other has captured.
+    """
+    if not text:
+        return []
+    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    known = _PATTERNS.get(regex.search(r"(?:\.[^./]*)?\Z", path or "")[0].lower())
+    found = _captures(known or _BRACED, text)
+    if known is _INDENTED and not found:
+        found = _captures(_BRACED, text)
+    elif known is not _INDENTED and not (known and found) and _PY_DEF.search(text):
+        taken = [m.span() for m in found]
+        found += [m for m in _captures(_INDENTED, text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        found.sort(key=lambda m: m.start())
+    return [(m["name"], " ".join(m["sig"].split()), m["doc"]) for m in found]
+
+
 _HAS_MARKER = regex.compile(r"\A\s*(?://|/\*|#(?!\w*\[)|[rRuUbBfF]{0,2}(?:\"{3}|'{3}))")
 
 
@@ -252,16 +274,17 @@ def source_pairs(files: DataFrame, keys: list[str], text: str = "content") -> Da
     dropped.  Null and empty texts have no functions; a text is always captured
     as a whole.
     """
-    table = spread(files.where(present(text)).select(*keys, F.col(text).alias("_text")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "_text")
+    path = F.col("rel_path") if "rel_path" in files.columns else F.lit(None).cast("string")
+    table = spread(files.where(present(text)).select(*keys, path.alias("_path"), F.col(text).alias("_text")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name not in ("_path", "_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                for name, signature, doc in extract(row[-1]):
+                for name, signature, doc in extract(row[-1], row[-2]):
                     if doc and tells_something(doc, name, signature):
-                        out.append((*row[:-1], name, signature, plain(doc)))
+                        out.append((*row[:-2], name, signature, plain(doc)))
             yield pd.DataFrame(out, columns=[*keys, "name", "signature", "doc"])
 
     return table.mapInPandas(run, f"{fields}, name string, signature string, doc string")

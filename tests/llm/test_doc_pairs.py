@@ -51,3 +51,11 @@ def test_very_long_text(spark):
     text = "// word\n" * 20_000 + "func F() {\n" + "\tx(1)\n" * 20_000 + "}\n"
     df = spark.createDataFrame([("p", text)], "project string, content string")
     assert d.source_pairs(df, ["project"]).count() == 1
+
+
+def test_pattern_follows_the_file_and_assigned_functions():
+    go = 'package a\n\n/*\ndef template(x):\n    pass\n*/\n\n// Run drains the queue.\nfunc Run(n int) error {\n\treturn nil\n}\n'
+    assert [f[0] for f in d.extract(go, "a/run.go")] == ["Run"] and "Run" in [f[0] for f in d.extract(go)]
+    assert [f[0] for f in d.extract("def run(x):\n    return x\n", "misnamed.go")] == ["run"]
+    js = "// Adds both.\nexports.add = function (a, b) {\n  return a + b;\n};\n// Doubles it.\nconst twice = (x) => {\n  return 2 * x;\n};\n// Halves it.\nexport const half = x => x / 2;\nconst n = 4;\n"
+    assert d.extract(js, "m.js") == [("add", "exports.add = function (a, b)", "// Adds both."), ("twice", "const twice = (x) =>", "// Doubles it."), ("half", "export const half = x =>", "// Halves it.")]

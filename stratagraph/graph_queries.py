@@ -771,6 +771,6 @@ def sr_regex(f: Facts) -> DataFrame:
 
 @facts_query(settle=True)
 def sr_rank(f: Facts) -> DataFrame:
-    found = search.text_lines(f.raw("scan_files").dropDuplicates(["project", "rel_path"]), ["project", "rel_path"], TEXT_QUERY).select(F.concat_ws("/", "project", "rel_path").alias("rel_path"), "line", "col")
+    found = search.text_lines(f.raw("scan_files").dropDuplicates(["project", "rel_path"]), ["project", "rel_path", "package_import_path"], TEXT_QUERY).select(F.concat_ws("/", "project", "rel_path").alias("rel_path"), "package_import_path", "line", "col")
     files = metrics.file_summaries(f).join(metrics.package_metrics(f).select(F.col("import_path").alias("package_import_path"), "importance"), "package_import_path", "left")
     return search.ranked_text(found, files.select("rel_path", "package_import_path", "relevant_symbols", "linked_symbols", "related_tests", "reverse_package_deps", "importance"), 40)

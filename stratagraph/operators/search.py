@@ -109,12 +109,15 @@ def text_lines(files: DataFrame, keys: list[str], query: str, regex: bool = Fals
 def ranked_text(matches: DataFrame, files: DataFrame, limit: int = 16) -> DataFrame:
     """Matches in order of their file's score, cut at a total budget.
 
-    ``matches``: rel_path, line, col; ``files``: rel_path, package_import_path,
+    ``matches``: rel_path, line, col and, where known, package_import_path, which
+    holds for files that ``files`` does not name; ``files``: rel_path, package_import_path,
     relevant_symbols, linked_symbols, related_tests, reverse_package_deps,
     importance.  Packages rank by matches * 60 + importance * 3 + reverse
     dependencies * 10 + a quarter of each file's score.
     """
-    per_file = matches.groupBy("rel_path").agg(F.count(F.lit(1)).alias("match_count")).join(files, "rel_path", "left").fillna(0).fillna("", ["package_import_path"])
+    own = F.max("package_import_path") if "package_import_path" in matches.columns else F.lit(None).cast("string")
+    counted, matches = matches.groupBy("rel_path").agg(F.count(F.lit(1)).alias("match_count"), own.alias("_own")), matches.drop("package_import_path")
+    per_file = counted.join(files, "rel_path", "left").withColumn("package_import_path", F.coalesce("package_import_path", "_own", F.lit(""))).fillna(0)
     score = F.col("match_count") * 100 + F.col("relevant_symbols") * 6 + F.col("linked_symbols") * 8 + F.col("related_tests") * 4 + F.col("reverse_package_deps") * 10 + F.col("importance") * 2
     scored = per_file.withColumn("file_score", score)
     packages = scored.groupBy("package_import_path").agg(

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as T
+from stratagraph.operators import search
 from stratagraph.plans import incremental
 from stratagraph.sources import content, extract, listing, manifests
 
@@ -118,3 +119,15 @@ def test_extractors(spark):
     } <= edges
     links = [(r.test_key, r.symbol_key, r.confidence) for r in extract.link_tests(found).collect()]
     assert ("func|tests.test_b|test_helper", "func|pkg.b|helper", "low") in links
+
+
+def test_ranked_text_by_file_and_package_scores(spark):
+    hits = spark.createDataFrame([("a/few.go", 3, 1), ("b/many.go", 1, 1), ("b/many.go", 2, 1), ("none.go", 9, 1)], "rel_path string, line int, col int")
+    columns = "rel_path string, package_import_path string, relevant_symbols long, linked_symbols long, related_tests long, reverse_package_deps long, importance long"
+    files = spark.createDataFrame([("a/few.go", "m/a", 5, 2, 1, 3, 40), ("b/many.go", "m/b", 0, 0, 0, 0, 0)], columns)
+    got = [tuple(r) for r in search.ranked_text(hits, files, 3).orderBy("rank").collect()]
+    # 100 + 5 * 6 + 2 * 8 + 1 * 4 + 3 * 10 + 40 * 2 = 260; 60 + 40 * 3 + 3 * 10 + 260 div 4 = 275
+    assert got == [(1, "m/a", "a/few.go", 3, 1, 260, 275), (2, "m/b", "b/many.go", 1, 1, 200, 170), (3, "m/b", "b/many.go", 2, 1, 200, 170)]
+    owned = hits.selectExpr("*", "'m/own' AS package_import_path")
+    got = {(r.package_import_path, r.rel_path) for r in search.ranked_text(owned, files).collect()}
+    assert got == {("m/a", "a/few.go"), ("m/b", "b/many.go"), ("m/own", "none.go")}

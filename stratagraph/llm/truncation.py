@@ -1,26 +1,34 @@
 """Texts cut off by field limits or broken off in transfer.
 
-1. *Lengths*: per source, and both in characters and in bytes, the discrete
+Two arms, reported apart:
+
+1. *Limits*.  Per source, and both in characters and in bytes, the discrete
    hazard of each length (texts that end there among those at least that long)
    is computed by window functions and tested against the hazard of the
    neighbouring lengths; lengths whose excess survives false-discovery control
-   are limits of that source.
-2. *Endings*: the end of each text is judged by how often its last words are
-   followed by the end of a sentence, line or text anywhere in the corpus, and
-   by brackets, quotes and fences it leaves open.
-3. A text is cut if its ending is incomplete.  At a significant length the
-   ending has to look complete to count as whole; elsewhere it has to look
-   incomplete to count as cut.
-
-The statistics of endings are counted over all texts.  Only contexts that end
-some text are kept, by a bit filter of fixed size, so what is shuffled is at
-most one row per such context and input partition, never the words of the
-corpus.  Copies of a text count as one witness.
+   are limits of that source.  A text at such a length is cut unless its ending
+   looks complete.
+2. *Transfer*.  At all other lengths a text is cut only if its ending looks
+   incomplete.
+
+How complete an ending looks is measured on the corpus: by how often its last
+words are followed by the end of a sentence, line or text elsewhere (shares of
+three, two and one words, each smoothed by the shorter one), by whether the
+last word is a word at all or only the beginning of others, and by brackets,
+quotes and fences that are left open.  Off the limits, an ending that ends
+clearly more other texts than breaks in transfer would put there is complete.
+No threshold depends on the number of texts.
+
+The statistics are counted over all texts.  Only contexts that end some text
+whose ending is open to doubt are kept, by a bit filter sized by their number,
+so what is shuffled is at most one row per such context and input partition,
+never the words of the corpus.  Copies of a text count as one witness.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +40,7 @@ import pyarrow.parquet as pq
 import regex
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..workspace import new_path, spread, stage
 
@@ -44,32 +52,35 @@ NEIGHBOURS = ((200, 3), (1000, 12), (1 << 62, 40))
 RATE, FEWEST = 0.001, 6
 #: Sources of fewer texts are held against the limits of all sources too, as texts without a source are.
 SMALL = 200
-#: Fewest number lists that end at a length, and the share of fillers among them, where their authors fill the field.
-LISTS, FILLED = 3, 0.8
-#: A context's end share below which an ending is incomplete: anywhere, and at a significant length or before a mark of a cut.
+#: An ending's completeness below which it is incomplete: off the limits, and at a limit or before a mark of a cut.
 CUT_BELOW, CUT_BELOW_AT_LIMIT = 0.05, 0.9
-#: Text ends witness a context's end only if they are at least this share of all texts; fewer may be cuts at the same place.
-END_WITNESSES = 0.0005
-#: A word that is never seen away from the ends of texts is a fragment, unless this share of all texts ends in it:
-#: of words of up to three letters, which many longer words begin with, and of others.
-WORD_ENDS = (0.003, 0.0004)
-#: Fewest other witnesses of a context of three, two or one words.
-WITNESSES = (2, 3, 3)
-#: Bits of the filter of contexts: 2 MB.
-FILTER_BITS = 1 << 24
+#: Weight of the shorter context's share, in occurrences.
+PRIOR = 1.0
+#: A last word never seen elsewhere inside a text is a fragment if it ends fewer other texts than this share of the
+#: words it begins; any last word is, if it is seen less often than the second share of them.
+FRAGMENT = (0.05, 0.001)
+#: Numbers at the end of texts of one length are complete if this share of them has more digits than numbers there have inside texts.
+OVERLONG = 0.05
+#: Bits of the context filter: so many a context, between the two bounds (packed, 128 KB and 32 MB).
+BITS_A_CONTEXT, FILTER_BITS = 16, (1 << 20, 1 << 28)
 CHUNK_CONTEXTS = 500_000
 
 # -- words and boundaries -----------------------------------------------------------
 
-_WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
+_WIDE = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 _CLOSERS = r"""[)\]}"'”’`»』」）]*"""
-_BOUNDARY = rf"(?:{_CLOSERS}(?:[.!?…]+{_CLOSERS}(?=\s|\Z)|[。！？]+|[ \t]*(?:\n|\Z)))"
-#: Words, numbers, wide characters and marks; the second group is what ends a sentence, line or text right after it.
-_TOKEN = regex.compile(rf"([{_WIDE}]|[[\w'’]--[{_WIDE}]]+(?:[.,]\d+)*|\.\.\.|-{{2,}}|={{2,}}|\*{{2,}}|~{{2,}}|\#{{2,}}|/{{2,}}|\n|[^\w\s])(?=({_BOUNDARY})?)", regex.V1)
+_CLOSING = frozenset(_CLOSERS[1:-2].replace("\\", ""))
+#: What ends a sentence or a line.
+_STOP = re.compile(rf"{_CLOSERS}[.!?…]+{_CLOSERS}(?=\s|\Z)|[。！？]+{_CLOSERS}|\n")
+_WIDE_LETTER = re.compile(rf"([{_WIDE}])")
+#: Words, numbers and marks; wide letters stand alone.
+_WORD = re.compile(r"\w+(?:['’]\w+)*(?:[.,]\d+)*|-+|=+|\*+|~+|[^\w\s]")
 _NUMBER = regex.compile(r"^\d+(?:[.,]\d+)*$")
 _NAME = regex.compile(r"_|\p{N}|\p{Ll}\p{Lu}")
-#: Marks that a shortened text carries at its end (fixed values), and phrases that an author ends with.
-_MARK = regex.compile(r"\s*(?:\[(?:\.\.\.|…|truncated|cut|snip|more)\]|\((?:\.\.\.|…|truncated|cut|continued|more)\)|<(?:truncated|snip|cut)>|…|\.\.\.)\s*$", regex.I)
+#: Marks that a shortened text carries at its end (fixed values).
+_MARK = regex.compile(r"(?:\[(?:\.\.\.|…|truncated|cut|snip|more)\]|\((?:\.\.\.|…|truncated|cut|continued|more)\)|<(?:truncated|snip|cut)>|…|\.\.\.)\Z", regex.I)
+#: The beginning of a sentence or line.
+START = "^"
 
 
 @lru_cache(200_000)
@@ -79,10 +90,19 @@ def _norm(word: str) -> str:
     return "ID" if _NAME.search(word) else word.lower()
 
 
-def tokens(text: str) -> tuple[list[str], list[bool]]:
-    """The normalised words of a text and whether a boundary follows each."""
-    found = _TOKEN.findall(text)
-    return [_norm(w) for w, _ in found], [bool(b) or w in "\n。！？" for w, b in found]
+def opened(words: list[str]) -> list[str]:
+    """A sentence or line without closing brackets and quotes at its end, as they may stand before its full stop."""
+    n = len(words)
+    while n > 1 and words[n - 1] in _CLOSING:
+        n -= 1
+    return words[:n]
+
+
+def pieces(text: str) -> list[list[str]]:
+    """The words of each sentence and line that has any."""
+    if not text.isascii():
+        text = _WIDE_LETTER.sub(r" \1 ", text)
+    return [words for part in _STOP.split(text) if (words := _WORD.findall(part))]
 
 
 def _hash(*words: str) -> int:
@@ -93,15 +113,28 @@ def clean(text: str) -> str:
     return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
+def last_line(body: str) -> str:
+    return body[body.rfind("\n") + 1 :]
+
+
 def without_mark(body: str) -> str:
     """A text without the mark of a cut at its end; a text that is nothing else keeps it."""
-    mark = _MARK.search(body)
-    return body[: mark.start()].rstrip() or body if mark else body
+    mark = _MARK.search(last_line(body)[-40:])  # longer than any mark
+    return body[: len(body) - len(mark[0])].rstrip() or body if mark else body
 
 
 def contexts(words: list[str]) -> list[int | None]:
-    """Hashes of the last three, two and one words; None where the text is shorter."""
-    return [_hash(str(k), *words[-k:]) if len(words) >= k else None for k in (3, 2, 1)]
+    """Hashes of the last three, two and one words of a sentence; None where its beginning comes first."""
+    own = [START, *map(_norm, words[-3:])] if len(words) < 3 else [_norm(w) for w in words[-3:]]
+    return [_hash(str(k), *own[-k:]) if len(own) >= k else None for k in (3, 2, 1)]
+
+
+def number_place(words: list[str]) -> tuple[int | None, int | None]:
+    """Of a number that ends a text: hashes of the word before it with its number of digits, and of that word; Nones without one."""
+    if not words or not words[-1].isdigit():
+        return None, None
+    before = _norm(words[-2]) if len(words) > 1 else START
+    return _hash("d", before, str(len(words[-1]))), _hash("d", before)
 
 
 # -- what an ending leaves open -------------------------------------------------------
@@ -142,26 +175,14 @@ def leaves_open(text: str, language: str | None) -> bool:
     return last.count("`") % 2 == 1 and not last.startswith("```") or last.count("“") > last.count("”") or last.count("(") > last.count(")") or last.count('"') % 2 == 1
 
 
-# -- refs: lists that fill a field to its end -------------------------------------------
-
-_LIST_TAIL = regex.compile(r"#(\d+)(?: #\d+)* #(\d+)$|(?<=\n)refs #(\d+)$")
-
-
-def list_tail(text: str) -> int | None:
-    """Of a text that ends in a list of numbers: 1 if the last one is a filler (1, 10, 100, ... and at most 9 more), else 0."""
-    m = _LIST_TAIL.search(text)
-    if not m:
-        return None
-    last = m[2] or m[3]
-    return int(len(last) == 1 or int(last) - 10 ** (len(last) - 1) < 10)
-
-
 # -- pass 1: endings ------------------------------------------------------------------------
 
 _ENDINGS = (
-    "doc_id long, source string, text_hash long, n_chars long, n_bytes long, h3 long, h2 long, h1 long,"
-    " open boolean, sealed boolean, marked boolean, filler int, own_inside boolean, last_length int"
+    "doc_id long, source string, text_hash long, n_chars long, n_bytes long, h3 long, h2 long, h1 long, hd long, place long,"
+    " open boolean, sealed boolean, marked boolean, own_inside boolean, named boolean"
 )
+_SEALED = regex.compile(rf"(?:[!?]|(?<!\d)\.|(?<=\D\d{{1,9}} \w{{1,3}})\.|[。！？]){_CLOSERS}\Z")
+_ENDS_IN_STOP = regex.compile(rf"[.!?…。！？]{_CLOSERS}\Z")
 
 
 def ending(doc_id: int, text: str | None, lang: str | None, source: str | None) -> tuple | None:
@@ -172,18 +193,14 @@ def ending(doc_id: int, text: str | None, lang: str | None, source: str | None)
     body = without_mark(whole.rstrip())
     marked = len(body) < len(whole.rstrip())
     language = code_language(body, lang)
-    words, _ = tokens(body[-400:])
-    words = [w for w in words if w != "\n"]
+    last = last_line(body)
+    words = opened((pieces(last) or [[]])[-1])
     # a sentence that is closed by its mark; a number before a full stop may be a cut decimal
-    sealed = bool(regex.search(rf"(?:[!?]|(?<!\d)\.|(?<=\D\d{{1,9}} \w{{1,3}})\.|[。！？]){_CLOSERS}$", body)) and language is None
-    stop = regex.search(rf"[.!?。！？]+{_CLOSERS}$", body)
-    if stop and language is None:
-        words = [w for w in tokens(body[: stop.start()][-400:])[0] if w != "\n"]
+    sealed = language is None and bool(_SEALED.search(last))
     h3, h2, h1 = contexts(words)
-    broken = body.endswith("�")
     return (
-        doc_id, source, xxhash.xxh64_intdigest(whole.strip()) - (1 << 63), len(text), len(text.encode()), h3, h2, h1,
-        leaves_open(body, language) or broken, sealed, marked, list_tail(body), bool(stop and language is None), len(words[-1]) if words else 0,
+        doc_id, source, xxhash.xxh64_intdigest(whole.strip()) - (1 << 63), len(text), len(text.encode()), h3, h2, h1, *number_place(words),
+        leaves_open(body, language) or body.endswith("�"), sealed, marked, bool(_ENDS_IN_STOP.search(last)), bool(words) and _norm(words[-1]) in ("ID", "0"),
     )
 
 
@@ -192,10 +209,9 @@ def _endings(documents: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in _ENDINGS.split(",")]
         for batch in batches:
             rows = [e for r in zip(batch["doc_id"], batch["text"], batch["lang"], batch["source"]) if (e := ending(*r))]
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("h3", "h2", "h1", "filler"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            columns = dict(zip(names, zip(*rows))) if rows else {c: [] for c in names}
+            # whole numbers with gaps: by way of floats, hashes would lose digits
+            yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c in ("h3", "h2", "h1", "hd", "place") else v for c, v in columns.items()}, columns=names)
 
     return spread(documents.select("doc_id", "text", "lang", "source")).mapInPandas(run, _ENDINGS)
 
@@ -209,72 +225,124 @@ def _read(path: str) -> pa.Table:
     return pq.read_table(inner, filesystem=system)
 
 
-def _load_filter(path: str) -> np.ndarray:
-    table = _read(path)
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for number, part in zip(table["part"].to_pylist(), table["bits"].to_pylist()):
-        bits[(number - 1) * 4096 : number * 4096] |= np.frombuffer(part, dtype=np.uint8)
-    return np.unpackbits(bits, bitorder="little").astype(bool)
-
-
-def _write_filter(endings: DataFrame) -> str:
-    """The contexts that end a text, as a bit filter of fixed size in the shared folder."""
-    path = new_path(endings.sparkSession, "ending-filter")
-    asked = endings.select(F.explode(F.array("h3", "h2", "h1")).alias("h")).where("h IS NOT NULL")
-    place = asked.select((F.pmod("h", F.lit(FILTER_BITS)) + 1).alias("at"))
-    parts = place.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    parts.coalesce(1).write.parquet(path)
-    return path
-
-
-#: Value of a boundary that is the end of a text.
-FINAL = 2
+class ContextFilter:
+    """The contexts that are asked for, as bits: a context that is none of them may pass, none of them is lost."""
 
+    def __init__(self, path: str, bits: int) -> None:
+        self.size, self.bits = bits, np.zeros(bits // 8, dtype=np.uint8)
+        table = _read(path)
+        for number, part in zip(table["part"].to_pylist(), table["bits"].to_pylist()):
+            self.bits[(number - 1) * 4096 : number * 4096] |= np.frombuffer(part, dtype=np.uint8)
 
-def count_contexts(text: str, counters: list[Counter], at_limit: bool = False) -> None:
-    """Count the contexts of a text; where a field limit ends it, its last word witnesses nothing."""
-    words, ends = tokens(without_mark(clean(text).rstrip()))
-    keep = [(w, e) for w, e in zip(words, ends) if w != "\n"]
-    if not keep:
-        return
-    words, ends = [w for w, _ in keep], [e for _, e in keep]
-    ends[-1] = FINAL
-    if at_limit:
-        words, ends = words[:-1], ends[:-1]
-    counters[2].update(zip(words, ends))
-    counters[1].update(zip(zip(words, words[1:]), ends[1:]))
-    counters[0].update(zip(zip(words, words[1:], words[2:]), ends[2:]))
+    def __contains__(self, h: int) -> bool:
+        at = h % self.size
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
 
 
-def _counts(documents: DataFrame, filter_path: str, limits_path: str) -> DataFrame:
+def _write_filter(asked: DataFrame) -> tuple[str, int]:
+    """The asked contexts (h) as a bit filter in the shared folder, and its size."""
+    path = new_path(asked.sparkSession, "ending-filter")
+    number = asked.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (BITS_A_CONTEXT * number).bit_length()))
+    place = asked.select((F.pmod("h", F.lit(bits)) + 1).alias("at"))
+    parts = place.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    parts.coalesce(1).write.parquet(path)
+    return path, bits
+
+
+class Counts:
+    """Contexts of texts by one, two and three words: how often they occur, and end something, and end a text."""
+
+    def __init__(self) -> None:
+        self.seen = [Counter(), Counter(), Counter()]
+        self.ends = [Counter(), Counter(), Counter()]
+        self.finals = [Counter(), Counter(), Counter()]
+        self.numbers: Counter = Counter()
+        self.names = [0, 0]
+
+    def add(self, text: str, at_limit: bool = False) -> None:
+        """Count a text; where a field limit ends it, its last word witnesses nothing."""
+        body = without_mark(clean(text).rstrip())
+        parts = pieces(body)
+        if not parts:
+            return
+        stopped = bool(_ENDS_IN_STOP.search(last_line(body)))
+        run: list[str] = []
+        for i, raw in enumerate(parts):
+            last = i + 1 == len(parts)
+            end = len(opened(raw))
+            if last:
+                raw = raw[: end - at_limit]
+            words = [START, *map(_norm, raw)]
+            run += words
+            if raw and not (last and at_limit):
+                own = words[: end + 1][-3:]
+                for k in range(1, len(own) + 1):
+                    key = own[-1] if k == 1 else tuple(own[-k:])
+                    self.ends[k - 1][key] += 1
+                    if last and not stopped:
+                        self.finals[k - 1][key] += 1
+            if "0" in words:
+                self.numbers.update((words[j - 1] if j > 1 else START, len(raw[j - 1])) for j, w in enumerate(words) if w == "0" and raw[j - 1].isdigit())
+            if "ID" in words or "0" in words:
+                lengths = [len(r) for r, w in zip(raw, words[1:]) if w in ("ID", "0")]
+                self.names = [self.names[0] + sum(lengths), self.names[1] + len(lengths)]
+        self.seen[0].update(run)
+        self.seen[1].update(zip(run, run[1:]))
+        self.seen[2].update(zip(run, run[1:], run[2:]))
+
+    def rows(self, wanted: ContextFilter) -> pd.DataFrame:
+        """h, n, e, f and x (longer words in that place that begin alike) of the wanted contexts; empties the counts."""
+        out: dict[int, list[int]] = {}
+        for k in (3, 2, 1):
+            ends, finals = self.ends[k - 1], self.finals[k - 1]
+            for key, n in self.seen[k - 1].items():
+                h = _hash(str(k), *((key,) if k == 1 else key))
+                if h in wanted:
+                    out[h] = [n, ends[key], finals[key], 0]
+        begun, letters = set(), 0  # wanted beginnings of words
+        for word, n in self.seen[0].items():
+            if word.isalpha():
+                letters += n * len(word)
+                for i in range(1, len(word)):
+                    h = _hash("1", word[:i])
+                    if h in wanted:
+                        begun.add(word[:i])
+                        out.setdefault(h, [0, 0, 0, 0])[3] += n
+        for (before, word), n in self.seen[1].items():
+            if word.isalpha():
+                for i in range(1, len(word)):
+                    if word[:i] in begun and (h := _hash("2", before, word[:i])) in wanted:
+                        out.setdefault(h, [0, 0, 0, 0])[3] += n
+        for (before, digits), n in self.numbers.items():
+            for d in range(1, digits + 1):
+                h = _hash("d", before, str(d))
+                if h in wanted:
+                    out.setdefault(h, [0, 0, 0, 0])[0] += n
+        totals = (TOTAL, letters, *self.names, 0)
+        self.__init__()
+        return pd.DataFrame([totals, *((h, *row) for h, row in out.items())], columns=["h", "n", "e", "f", "x"])
+
+
+#: The row of all letters of plain words, all characters of names and numbers, and the number of these.
+TOTAL = 0
+
+
+def _counts(documents: DataFrame, filter_path: str, bits: int, limits_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = _load_filter(filter_path)
+        wanted = ContextFilter(filter_path, bits)
         table = _read(limits_path)
         limits = set(zip(*(table[c].to_pylist() for c in ("source", "unit", "length"))))
-        counters = [Counter(), Counter(), Counter()]
-
-        def flush() -> pd.DataFrame:
-            rows: dict[int, list[int]] = {}
-            for k, counter in zip((3, 2, 1), counters):
-                for (key, end), n in counter.items():
-                    h = _hash(str(k), *((key,) if k == 1 else key))
-                    if wanted[h % FILTER_BITS]:
-                        row = rows.setdefault(h, [0, 0, 0])
-                        row[0] += n
-                        row[1] += n * (end > 0)
-                        row[2] += n * (end == FINAL)
-                counter.clear()
-            return pd.DataFrame([(h, *row) for h, row in rows.items()], columns=["h", "n", "e", "f"])
-
+        counts = Counts()
         for batch in batches:
             for text, source in zip(batch["text"], batch["source"]):
-                count_contexts(text, counters, bool(limits) and ((source, "chars", len(text)) in limits or (source, "bytes", len(text.encode())) in limits))
-                if len(counters[0]) > CHUNK_CONTEXTS:
-                    yield flush()
-        yield flush()
+                counts.add(text, bool(limits) and ((source, "chars", len(text)) in limits or (source, "bytes", len(text.encode())) in limits))
+                if len(counts.seen[2]) > CHUNK_CONTEXTS:
+                    yield counts.rows(wanted)
+        yield counts.rows(wanted)
 
-    partial = spread(documents.select("text", "source").where("text IS NOT NULL")).mapInPandas(run, "h long, n long, e long, f long")
-    return partial.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "e", "f")])
+    partial = spread(documents.select("text", "source").where("text IS NOT NULL")).mapInPandas(run, "h long, n long, e long, f long, x long")
+    return partial.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "e", "f", "x")])
 
 
 # -- lengths -------------------------------------------------------------------------------------
@@ -344,57 +412,119 @@ def limits_of(lengths: DataFrame) -> DataFrame:
 # -- the operator ------------------------------------------------------------------------------------
 
 
+def _spread_nulls(column: str, *by: str) -> Column:
+    """A join key that is null where a context is missing, spread instead of met in one task; no count answers it."""
+    return F.when(F.col(column).isNull(), F.concat(F.lit("-"), F.xxhash64(*by).cast("string"))).otherwise(F.col(column).cast("string"))
+
+
+def _complete(rows: DataFrame) -> DataFrame:
+    """Adds ``share``, how complete an ending looks, and ``usual``: it ends more other texts than breaks would.
+
+    ``rows`` have n, e, f and x of their contexts of three, two and one words
+    (x of three words is that of two), ``copies`` of the text, ``breaks``, the
+    rate of breaks per letter, and ``span``, the length of a name or number: a
+    break anywhere in one looks like its end.
+    """
+    inner, last = _own()
+    share, usual = F.lit(0.0), F.lit(False)
+    width = F.when(F.col("named"), F.col("span")).otherwise(F.lit(1.0))
+    for k in (1, 2, 3):
+        n, e, f = (F.greatest(F.coalesce(f"{c}{k}", F.lit(0)) - own, F.lit(0)) for c, own in (("n", inner + last), ("e", inner + last), ("f", last)))
+        x = F.coalesce(f"x{min(k, 2)}", F.lit(0))
+        # off the limits, other ends of texts may be breaks and witness nothing by themselves
+        told = F.when(F.col("at_limit") | F.col("marked"), e).otherwise(e - f)
+        share = F.when(n > 0, (F.least(told, n) + F.lit(PRIOR) * share) / (n + x + F.lit(PRIOR))).otherwise(share)
+        if k > 1:
+            by_chance = F.col("breaks") * (n * width + x)
+            usual = usual | (f > by_chance + 4 * F.sqrt(by_chance) + 2)
+    return rows.withColumn("share", F.when(_fragment(), F.lit(0.0)).otherwise(share)).withColumn("usual", usual & ~_fragment())
+
+
+def _own() -> tuple[Column, Column]:
+    """What a text's own end adds to its contexts: inside the text, where a full stop follows, or as its end; nothing at a limit."""
+    inner = F.when(F.col("own_inside") & ~F.col("at_limit"), F.col("copies")).otherwise(F.lit(0))
+    last = F.when(F.col("own_inside") | F.col("at_limit"), F.lit(0)).otherwise(F.col("copies"))
+    return inner, last
+
+
+def _fragment() -> Column:
+    """Whether the last word is only the beginning of other words."""
+    inner, last = _own()
+    n, f, x = (F.coalesce(c, F.lit(0)) for c in ("n1", "f1", "x1"))
+    seen, ended = n - inner - last, f - last
+    return ((seen - ended <= 0) & (ended <= F.lit(FRAGMENT[0]) * x)) | (seen < F.lit(FRAGMENT[1]) * x)
+
+
 def judged(documents: DataFrame) -> DataFrame:
-    """One row per text that is not blank: doc_id, source, at_limit, share, cut.
+    """One row per text that is not blank: doc_id, source, n_chars, n_bytes, at_limit, share, cut, cut_at_limit, cut_in_transfer.
 
     ``documents``: doc_id, text, lang, source; other columns are ignored.
-    Repeated ids give a row each.  ``share`` is how often the ending's context
-    ends something elsewhere in the corpus (null: never seen elsewhere).
+    Repeated ids give a row each.  ``share`` is how complete the ending looks;
+    ``cut`` is the one or the other of the two arms that follow it.
     """
     ends = stage(_endings(documents), "endings")
-    copies = ends.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("source").alias("_s"))
+    copies = ends.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
     lengths = ends.select("source", "text_hash", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
     distinct = lengths.select("source", "text_hash", "x.unit", "x.length").distinct()
     limits_path = new_path(documents.sparkSession, "limits")
     limits_of(distinct).write.parquet(limits_path)
     limits = documents.sparkSession.read.parquet(limits_path)
-    counts = stage(_counts(documents, _write_filter(ends), limits_path), "ending-counts")
-    rows = ends.join(copies.drop("_s"), "text_hash")
-    for k in (3, 2, 1):
-        rows = rows.join(counts.select(F.col("h").alias(f"h{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "e", "f")]), f"h{k}", "left")
+
+    doubtful = ends.where("marked OR NOT sealed")
+    asked = doubtful.select(F.explode(F.array("h3", "h2", "h1", "hd")).alias("h")).where("h IS NOT NULL")
+    counts = stage(_counts(documents, *_write_filter(asked), limits_path), "ending-counts")
+
+    rows = ends.join(copies, "text_hash")
     for unit, column in (("chars", "n_chars"), ("bytes", "n_bytes")):
         mine = limits.where(F.col("unit") == unit).select(F.col("source").alias("_source"), F.col("length").alias("_length"), F.lit(True).alias(f"limit_{unit}"))
         rows = rows.join(mine, F.col("source").eqNullSafe(F.col("_source")) & (F.col(column) == F.col("_length")), "left").drop("_source", "_length")
-    at_limit = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))
-    rows = rows.join(F.broadcast(copies.agg(F.count(F.lit(1)).alias("texts")))).withColumn("at_limit", at_limit)  # one row
-    share = None
-    for k, least in zip((3, 2, 1), WITNESSES):
-        # without the text's own end: it lies inside the text where a full stop follows, and was not counted at a limit
-        inner = F.when(F.col("own_inside"), F.col("copies")).otherwise(F.lit(0))
-        last = F.when(F.col("own_inside") | F.col("at_limit"), F.lit(0)).otherwise(F.col("copies"))
-        n, inside, final = F.col(f"n{k}") - inner - last, F.col(f"e{k}") - F.col(f"f{k}") - inner, F.col(f"f{k}") - last
-        known = F.when(n >= least, (inside + F.when(final >= END_WITNESSES * F.col("texts"), final).otherwise(F.lit(0))) / n)
-        share = known if share is None else F.coalesce(share, known)
-    fragment = (F.coalesce("n1", F.lit(0)) <= F.coalesce("f1", F.lit(0))) & (
-        F.coalesce("f1", F.lit(0)) - F.when(F.col("at_limit"), F.lit(0)).otherwise(F.col("copies")) < F.when(F.col("last_length") <= 3, F.lit(WORD_ENDS[0])).otherwise(F.lit(WORD_ENDS[1])) * F.col("texts")
-    )  # at a limit the own end is not among them
-    rows = rows.withColumn("share", F.when(fragment, F.lit(0.0)).otherwise(share))
-    # number lists that end at a length: fillers there mean that the authors filled the field
-    fills = rows.where("filler IS NOT NULL AND at_limit").groupBy("source", "n_chars").agg(((F.count(F.lit(1)) >= LISTS) & (F.avg("filler") >= FILLED)).alias("filled")).withColumnRenamed("source", "_source").withColumnRenamed("n_chars", "_n")
-    rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")), "left").drop("_source", "_n")
-    weak = F.coalesce(F.col("share"), F.lit(0.0))
+    rows = rows.withColumn("at_limit", F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False))).drop("limit_chars", "limit_bytes")
+    known = rows.where("sealed AND NOT marked").withColumns({"share": F.lit(1.0), "cut": F.lit(False)})
+    rows = rows.where("marked OR NOT sealed")
+    for k, names in (("3", "nef"), ("2", "nefx"), ("1", "nefx"), ("d", "n")):
+        key = f"h{k}"
+        found = counts.select(F.col("h").cast("string").alias("_key"), *[F.col(c).alias(f"{c}{k}") for c in names])
+        rows = rows.withColumn("_key", _spread_nulls(key, "doc_id", "text_hash")).join(found, "_key", "left").drop("_key")
+    # the rate of breaks, by those that leave a fragment of a plain word
+    fragments = rows.where(~F.col("at_limit") & ~F.col("marked") & _fragment()).agg(F.count_distinct("text_hash").alias("fragments"))
+    total = counts.where(F.col("h") == TOTAL).agg(*[F.greatest(F.coalesce(F.sum(c), F.lit(0)), F.lit(1)).alias(c) for c in "nef"])
+    rate = fragments.join(F.broadcast(total)).select((F.col("fragments") / F.col("n")).alias("breaks"), (F.col("e") / F.col("f")).alias("span"))  # one row each
+    rows = _complete(rows.join(F.broadcast(rate)))
+    rows = _numbers_complete(rows)
     below = F.when(F.col("at_limit") | F.col("marked"), F.lit(CUT_BELOW_AT_LIMIT)).otherwise(F.lit(CUT_BELOW))
     cut = (
-        F.when(F.col("filler").isNotNull() & ~F.col("marked"), F.col("at_limit") & ~F.coalesce("filled", F.lit(False)))
-        .when(F.col("sealed") & ~F.col("marked"), F.lit(False))
+        F.when(F.col("at_limit") & ~F.col("marked") & F.col("filled"), F.lit(False))
         .when(F.col("open"), F.lit(True))
-        .otherwise(weak < below)
+        .when(~F.col("at_limit") & F.col("usual") & (~F.col("marked") | (F.col("share") >= 0.5)), F.lit(False))
+        .otherwise(F.col("share") < below)
     )
-    return rows.select("doc_id", "source", "n_chars", "n_bytes", "at_limit", "share", cut.alias("cut"))
+    columns = ["doc_id", "source", "n_chars", "n_bytes", "at_limit", "share", "cut"]
+    both = rows.withColumn("cut", cut).select(*columns).unionByName(known.select(*columns))
+    return both.withColumn("cut_at_limit", F.col("cut") & F.col("at_limit")).withColumn("cut_in_transfer", F.col("cut") & ~F.col("at_limit"))
+
+
+def _numbers_complete(rows: DataFrame) -> DataFrame:
+    """Adds ``filled``: the texts of this length that end in a number were not cut there.
+
+    A number that a limit cuts is the beginning of an ordinary number, so it
+    has no more digits than numbers after the same word have inside texts.  At a
+    limit where at least ``OVERLONG`` of the last numbers have more, the numbers
+    are the authors' own.  Of the source's texts if there are enough of them to
+    tell, else of all texts of that length.
+    """
+    numbers = rows.where("place IS NOT NULL AND at_limit AND NOT marked")
+    long = (F.coalesce("nd", F.lit(0)) == 0).cast("double")
+    mine = numbers.groupBy("source", "n_chars", "place").agg(F.avg(long).alias("_mine"), F.count(F.lit(1)).alias("_few")).withColumnsRenamed({"source": "_source", "n_chars": "_n", "place": "_p"})
+    all_ = numbers.groupBy("n_chars", "place").agg(F.avg(long).alias("_all")).withColumnsRenamed({"n_chars": "_m", "place": "_q"})
+    joined = rows.join(mine, F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")) & (F.col("place") == F.col("_p")), "left")
+    joined = joined.join(all_, (F.col("n_chars") == F.col("_m")) & (F.col("place") == F.col("_q")), "left")
+    filled = F.when(F.col("_few") >= FEWEST, F.col("_mine")).otherwise(F.col("_all")) >= OVERLONG
+    return joined.withColumn("filled", F.coalesce(filled, F.lit(False))).drop("_mine", "_few", "_source", "_n", "_p", "_all", "_m", "_q")
 
 
 def cut_rates(rows: DataFrame) -> DataFrame:
-    """How often each source cuts: texts, cut texts, those at a significant length, and the rate."""
+    """How often each source cuts: texts, cut texts, those of each arm, and the rate."""
     return rows.groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut_texts"), F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limits"), F.avg(F.col("cut").cast("double")).alias("cut_rate")
-    )
+        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut_texts"), F.count_if("cut_at_limit").alias("cut_at_limits"),
+        F.count_if("cut_in_transfer").alias("cut_in_transfer"), F.avg(F.col("cut").cast("double")).alias("cut_rate"),
+    )

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..tables import present, valid_rows
-from ..workspace import spread
+from ..workspace import spread, stage
 
 # -- capture --------------------------------------------------------------------
 
@@ -201,17 +201,36 @@ def _near(word: str, told: set[str]) -> bool:
     return word in told or stem in told or (len(stem) >= 4 and any(t.startswith(stem[: max(4, len(stem) - 1)]) and abs(len(t) - len(stem)) <= 2 for t in told))
 
 
-def tells_something(doc: str, name: str, signature: str, receiver: str = "") -> bool:
-    """Whether a documentation text says more than the name and the signature."""
+#: An entry about a parameter or a result: a tag or not, its name, its type, and what is said about it.
+_ENTRY = regex.compile(r"^(?:[@:\\](?:params?|arguments?|args?|returns?|raises?|throws?|yields?|type)\b:?\s*)?(?:\{[^}]*\}\s*)?(?P<name>[*&$]*[\w.\[\]]+)(?P<type>\s*\([^)]*\))?(?P<colon>\s*[:\-]+)?(?:\s+(?P<text>.*))?$", regex.I)
+_SECTION = regex.compile(r"^[@:\\]?(?:args|arguments|parameters|params|returns?|raises?|throws?|yields?)\s*:?$", regex.I)
+
+
+def _adds(line: str, told: set[str]) -> list[str]:
+    """The words of a line that neither the name and signature nor, in an entry about a parameter, its own name tell."""
+    if _SECTION.match(line):
+        return []
+    entry = _ENTRY.match(line)
+    if entry and (_TAG.match(line) or entry["type"] and entry["colon"]):
+        own = _words(entry["name"])
+        told = {*told, *own, *map(_stem, own)}
+        line = entry["text"] or ""
+        if _TAG.match(entry["name"]) and not entry["colon"]:  # a bare "@return the result"
+            told = told | {"result", "value"}
+    return [w for w in _words(line) if w not in FILLER and not _near(w, told)]
+
+
+def reading(doc: str, name: str, signature: str, receiver: str = "") -> tuple[bool, bool, list[str]]:
+    """What a documentation text says: (more than name and signature, all of the name again in other form, the words it adds in order)."""
     text = plain(doc)
     lines = [x.strip() for x in text.split("\n")]
     lines = [x for x in lines if regex.search(r"[\p{L}\p{N}]", x)]  # rules, frames and bare marks are no text
     if not lines or UNWRITTEN.match(" ".join(lines)):
-        return False
+        return False, False, []
     told_words = {*_words(name), *_words(signature), *_words(receiver)}
     told = {*told_words, *map(_stem, told_words)}
     whole = {name.lower(), (receiver or "").strip("*&").lower()}
-    left = []
+    left, added = [], []
     for line in lines:
         line = plain(line)
         if TOOLS.match(line) or UNWRITTEN.match(line):
@@ -221,24 +240,52 @@ def tells_something(doc: str, name: str, signature: str, receiver: str = "") ->
             continue
         if _CODE_LINE.match(line) and not regex.search(r"[.!?]$", line):
             continue
-        words = _words(line)
-        content = [w for w in words if w not in FILLER and not _near(w, told)]
-        if _TAG.match(line):  # a tag and the name it is about tell nothing yet
-            tagged = regex.sub(r"^[@:\\]?\w+\b:?\s*(?:\{[^}]*\}\s*)?(?:[\w.$*&\[\]]+(?:\s*[:\-]|\s*$)|(?<=[Pp]aram\s)[\w.$*&\[\]]+)?", "", line)
-            content = [w for w in _words(tagged) if w not in FILLER and not _near(w, told)]
-        if content:
+        if words := _adds(line, told):
             left.append(line)
-    if not left:
-        return False
-    joined = " ".join(left)
-    if regex.sub(r"^[\s\W_]+|[\s\W_]+$", "", joined).lower() in STOCK:
-        return False
-    return any(w not in FILLER and not w.isdigit() and not _near(w, told) for w in _words(joined))
+            added += words
+    joined = regex.sub(r"^[\s\W_]+|[\s\W_]+$", "", " ".join(left)).lower()
+    if not left or joined in STOCK or all(w.isdigit() for w in added):
+        return False, False, []
+    said = _words(regex.sub(rf"(?<!\w){regex.escape(name)}(?!\w)", " ", text)) if name else []
+    forms = {*said, *map(_stem, said)}
+    again = bool(name) and all(_near(w, forms) for w in _words(name))
+    return True, again, added
+
+
+def tells_something(doc: str, name: str, signature: str, receiver: str = "") -> bool:
+    """Whether a documentation text says more than the name and the signature, as far as it tells by itself."""
+    return reading(doc, name, signature, receiver)[0]
 
 
 # -- operators --------------------------------------------------------------------
 
 
+#: What at least so many documentations say, of which at least this share say the name again, belongs to saying it.
+FRAME_DOCS, FRAME_SHARE = 5, 0.9
+
+
+def phrases(words: list[str]) -> tuple[list[str], list[str]]:
+    """What a documentation adds: all its words and pairs of neighbouring words, and the parts of it that tell (a single word, or pairs)."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return sorted({*words, *pairs}), sorted(set(pairs or words))
+
+
+def without_restatements(read: DataFrame) -> DataFrame:
+    """Drops the pairs that say their name again and add only what goes with doing so ("is a helper named ..., as its name says").
+
+    Such phrases are learnt, not listed: of the documentations that use one,
+    nearly all say the whole name again.  What tells something is used under
+    names that it doesn't repeat, too.  ``read``: symbol_key, kind, signature,
+    doc, again, phrases, parts.
+    """
+    keys = ["symbol_key", "kind", "signature", "doc"]
+    used = read.select("again", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("docs"), F.count_if("again").alias("again"))
+    frame = used.where((F.col("docs") >= FRAME_DOCS) & (F.col("again") >= FRAME_SHARE * F.col("docs"))).select("phrase")
+    suspects = read.where("again").select(*keys, F.explode("parts").alias("phrase")).distinct()
+    telling = suspects.join(frame, "phrase", "left_anti").select(*keys).distinct()
+    return read.where("NOT again").select(*keys).unionAll(read.where("again").select(*keys).join(telling, keys, "left_semi"))
+
+
 def documented(symbols: DataFrame) -> DataFrame:
     """Pairs of signature and documentation of function and method facts.
 
@@ -254,11 +301,14 @@ def documented(symbols: DataFrame) -> DataFrame:
             out = []
             for key, name, kind, receiver, signature, doc in batch.itertuples(index=False):
                 captured = unit(doc, signature)
-                if captured and tells_something(captured[0], name or "", captured[1], receiver or ""):
-                    out.append((key, kind, signature, plain(captured[0])))
-            yield pd.DataFrame(out, columns=["symbol_key", "kind", "signature", "doc"])
-
-    return rows.mapInPandas(run, "symbol_key string, kind string, signature string, doc string")
+                if captured:
+                    tells, again, words = reading(captured[0], name or "", captured[1], receiver or "")
+                    if tells:
+                        out.append((key, kind, signature, plain(captured[0]), again, *phrases(words)))
+            yield pd.DataFrame(out, columns=["symbol_key", "kind", "signature", "doc", "again", "phrases", "parts"])
+
+    schema = "symbol_key string, kind string, signature string, doc string, again boolean, phrases array<string>, parts array<string>"
+    return without_restatements(stage(rows.mapInPandas(run, schema), "doc-pairs"))
 
 
 def latest_pairs(symbols: DataFrame, snapshot_id: int | None) -> DataFrame:

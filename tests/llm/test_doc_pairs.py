@@ -17,6 +17,7 @@ def test_tells_something(doc):
 @pytest.mark.parametrize("doc", [
     "LoadColdPlan", "LoadColdPlan method.", "Loads the cold plan", "/* LoadColdPlan */", "// ///", "----------", '""""""', "TODO: document", "FIXME(reviewer-2): write the docs once the interface settles.", "Describe me.", "À compléter", "Sin documentar.", "未記載", "待补充",
     "go:build linux", "nolint:gocyclo", "pylint: disable=too-many-args", "{@inheritDoc}", "func LoadColdPlan(path string, limit int) error", "plan := path.LoadColdPlan()\nreturn plan, nil", ":param path:\n:param limit:\n:return:", "@param other\n@return", "Args:\n    path:\n    limit:\nReturns:\n", " \t", "\xa0", "N/A", "====\nLoadColdPlan()\n====",
+    "Args:\n    root (Path|None): The root.\n    since (dict[str,int]): The since.\n\nReturns:\n    The result.", "@param root the root\n@param since the since\n@throws", "@param root the root\n@return the result",
 ])
 def test_tells_nothing(doc):
     captured = d.unit(doc, SIG)
@@ -59,3 +60,20 @@ def test_pattern_follows_the_file_and_assigned_functions():
     assert [f[0] for f in d.extract("def run(x):\n    return x\n", "misnamed.go")] == ["run"]
     js = "// Adds both.\nexports.add = function (a, b) {\n  return a + b;\n};\n// Doubles it.\nconst twice = (x) => {\n  return 2 * x;\n};\n// Halves it.\nexport const half = x => x / 2;\nconst n = 4;\n"
     assert d.extract(js, "m.js") == [("add", "exports.add = function (a, b)", "// Adds both."), ("twice", "const twice = (x) =>", "// Doubles it."), ("half", "export const half = x =>", "// Halves it.")]
+
+
+def test_restatements_are_learnt(spark):
+    """Phrases that go with saying the name again are found by how they are used, and only they."""
+    verbs, nouns = ["load", "pin", "drain", "trim", "seal", "rank"], ["plan", "lock", "queue", "frame", "index", "rule"]
+    rows = []
+    for i, (v, x) in enumerate((v, x) for v in verbs for x in nouns):
+        name = f"{v}_{x}"
+        rows.append((f"stale{i}", name, "func", "", f"def {name}()", f"{name} is a routine denoted {name}: it {v}s the {x}, as the title tells."))
+        rows.append((f"told{i}", name, "func", "", f"def {name}()", f"{name} {v}s the {x} before the disk is full."))
+        rows.append((f"other{i}", name, "func", "", f"def {name}()", f"Waits for the watcher number {i} before the disk is full."))
+    df = spark.createDataFrame(rows, "symbol_key string, name string, kind string, receiver string, signature string, doc string")
+    got = {r.symbol_key for r in d.documented(df).collect()}
+    assert got == {r[0] for r in rows if not r[0].startswith("stale")}
+    few = df.where("symbol_key IN ('stale0', 'told0')")  # too few to learn from: kept
+    assert {r.symbol_key for r in d.documented(few).collect()} == {"stale0", "told0"}
+    assert d.documented(df.limit(0)).collect() == []

@@ -13,7 +13,7 @@ def brute(rows, n):
     return sorted((g, h, a, b, -s) for (g, h), v in groups.items() for s, _, _, a, b in sorted(v, key=lambda x: x[:3])[:n])
 
 
-def run(spark, rows, n, size=1024):
+def run(spark, rows, n, size=64):
     df = spark.createDataFrame(rows, "g long, h string, s long, a string, b string")
     return sorted((r.g, r.h, r.a, r.b, r.score) for r in topn.top_n(df, ["g", "h"], "s", ["a", "b"], n, size).collect())
 
@@ -53,3 +53,34 @@ def test_statistics_drop_only_hopeless_row_groups(spark):
         "path string, nth int, group_min string, group_max string, score_min long, score_max long, n_rows long",
     )
     assert sorted(r.nth for r in topn.skip_by_statistics(meta, 5).collect()) == [0, 2, 3, 4]
+
+
+def test_scores_with_fractions(spark):
+    df = spark.createDataFrame([("g", 1.25, "a"), ("g", 1.5, "b"), ("g", float("nan"), "c"), ("g", None, "d"), ("g", 1.75, None), ("g", 1.75, "")], "g string, s double, a string")
+    assert [(r.score, r.a, r["rank"]) for r in topn.top_n(df, ["g"], "s", ["a"], 3).orderBy("rank").collect()] == [(1.75, None, 1), (1.75, "", 2), (1.5, "b", 3)]
+
+
+def test_a_large_group_is_skipped_and_spread(spark):
+    """Of a group of many row groups one is read; files are read by as many tasks as there are."""
+    from pyspark.sql import functions as F
+
+    items = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("g"), (F.col("id") * 7919 % 50_021).alias("s"), F.col("id").cast("string").alias("a"))
+    row_groups, files = topn.cluster(items, ["g"], "s", ["a"], 500)
+    left = topn.skip_by_statistics(row_groups, 5)
+    hot = "group_min = group_max AND group_min = 'hot'"
+    assert row_groups.where(hot).count() > 70 and left.where(hot).count() <= files + 1
+    assert left.count() < row_groups.count() - 60
+    # without the first step, the second one skips them within each file
+    for path, parts in row_groups.toPandas().groupby("path"):
+        table, read = topn.best_of_file(topn._uri(path), parts.to_dict("records"), 5, ["g", "a"], ["a"])
+        alone = int((parts["group_min"] == "hot").sum())
+        assert read <= len(parts) - max(0, alone - 2) and table.num_rows
+    best = topn.top_n(items, ["g"], "s", ["a"], 5, 500)
+    want = items.toPandas().assign(b=lambda d: -d.s).sort_values(["g", "b", "a"]).groupby("g").head(5)
+    assert sorted((r.g, r.score, r.a) for r in best.collect()) == sorted(zip(want.g, want.s, want.a))
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("topn-tasks", "")
+    topn.top_n(items, ["g"], "s", ["a"], 5, 500).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup("topn-tasks") for s in tasks.getJobInfo(j).stageIds]
+    assert sum(1 for s in stages if s and s.numTasks >= spark.sparkContext.defaultParallelism) >= 2

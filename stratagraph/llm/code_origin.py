@@ -4,16 +4,17 @@ Every file is judged on its whole text in one pass:
 
 * *generated*: a notice of generation at the start of a comment in the file's
   header or in its closing comment lines, found by a multi-pattern automaton;
-  or a body that consists of the enumerated accessors only generators write.
-  Quoted notices, and notices inside a sentence, are talk about generation.
+  or a body that repeats one block from its beginning to its end, as only
+  generators write.  Quoted notices, and notices inside a sentence, are talk
+  about generation.
 * *minified*: text whose bulk has no line structure a person would write: very
-  long lines, or short identifiers packed almost without white space.  A file
-  name with a minified suffix lowers the bar.
+  long lines, or short identifiers packed almost without white space, as far as
+  the number of words proves it.  A minified suffix lowers the bar.
 * *data*: no statements, nearly all literals.
-* *vendored*: a path rule for directories of third-party code or a lockfile, a
-  notice of another project's authors, or an import of the internals of a
-  library that such paths and notices anywhere in the corpus name; and files
-  whose body equals that of a vendored file.
+* *vendored*: a path rule for directories of third-party code or a lockfile; an
+  attribution in the header to, or an import of the internals of, a library that
+  such paths anywhere in the corpus name; and files whose body equals that of a
+  vendored file.
 
 Scale: one pass over the texts in Arrow batches, without a shuffle of texts.
 What is shuffled are one digest and the few library names of each file.
@@ -22,6 +23,8 @@ What is shuffled are one digest and the few library names of each file.
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +50,7 @@ GENERATED_NOTICES = [
 ]
 #: Beginnings that need one of ``EDIT_WARNINGS`` in the same comment line.
 WEAK_NOTICES = ["generated by", "created with", "produced by", "built by", "compiled from", "output of", "do not edit", "end of"]
-EDIT_WARNINGS = ["do not edit", "do not modify", "do not change", "by hand", "manual edits", "will be lost", "overwritten", "rerun", "regenerate", "input digest", "instead of patching", "edit the schema", "nicht bearbeiten", "ne pas modifier", "no editar", "não editar"]
+EDIT_WARNINGS = ["do not edit", "do not modify", "do not change", "by hand", "manual", "will be lost", "overwritten", "rerun", "regenerate", "instead of", "digest", "nicht bearbeiten", "ne pas modifier", "no editar", "não editar"]
 #: Directories of third-party code.
 VENDOR_DIRS = {"vendor", "vendors", "vendored", "_vendor", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "node_modules", "bower_components", "jspm_packages", "site-packages", "dist-packages", "deps", "external", "externals", "contrib", "extern", "pods", "godeps"}
 #: Those of them that also serve as ordinary directory names: they count only above a directory named like a known library.
@@ -59,13 +62,9 @@ MINIFIED_NAME = regex.compile(r"[.\-_](?:min|prod|bundle|packed|dist)\.(?:js|mjs
 
 _COMMENT = regex.compile(r"^\s*(?://[/!]?|#(?!\[|!/|include|define|pragma)|/\*+!?|\*(?!/)|--|;;|<!--|\"{3}|'{3})\s?(.*?)\s*(?:\*/|-->)?\s*$")
 _FRAME = regex.compile(r"^\s*(?:\*/|/\*+!?|\"{3}|'{3}|\*)?\s*$")
-_LIBRARY = r"(?P<lib>[A-Za-z][\w.\-]*?)"
-_AUTHORS = [
-    regex.compile(rf"^Part of {_LIBRARY}\. Written by ", regex.I),
-    regex.compile(rf"^Copyright (?:\(c\) |© )?(?:\d{{4}}(?:[-, ]+\d{{4}})* )?(?:the )?{_LIBRARY} (?:authors|contributors|developers|team|project)\b", regex.I),
-    regex.compile(rf"^{_LIBRARY} is free to use; keep this notice", regex.I),
-    regex.compile(rf"^(?:Copied|Vendored|Taken|Adapted|Forked|Imported|Derived) from {_LIBRARY}(?: v?\d[\w.]*)?(?: \(|,| at | by | under |$)", regex.I),
-]
+#: What a header says of whose work a file is; the library it names beside must be known from a vendored path.
+_ATTRIBUTION = regex.compile(r"\b(?:copyright|licen[sc]e[ds]?|spdx|authors?|written|contributors|maintain(?:ers?|ed)|notice|part of|free to use|vendored|copied|forked|derived|adapted|taken|imported|bundled?|upstream)\b|©", regex.I)
+_NAMES = regex.compile(r"[A-Za-z][\w.\-/@]*\w")
 _INTERNAL_IMPORTS = [
     regex.compile(r"^\s*from ([A-Za-z]\w*)\._\w+ import ", regex.M),
     regex.compile(r"""require\(['"]((?:@[\w.\-]+/)?[A-Za-z][\w.\-]*)/(?:lib|src|dist|internal)/"""),
@@ -73,17 +72,17 @@ _INTERNAL_IMPORTS = [
     regex.compile(r"^\s*use ([a-z]\w*)::\w+(?:::\w+)*::\*;", regex.M),
     regex.compile(r'^\s*(?:import )?(?:\w+ )?"[\w\-]+(?:\.[\w\-]+)+/([A-Za-z][\w.\-]*)/[\w./\-]+"', regex.M),
 ]
-_ACCESSORS = [
-    regex.compile(r"^\s*func \(\w+ \*?\w+\) Get\w+\(\) \S+ \{$|^\s*if \w+ != nil \{$|^\s*return \w+\.[A-Z]\w*$|^\s*return (?:\"\"|0|nil|false)$|^\s*\}$"),
-    regex.compile(r"^\s*_[A-Z0-9_]+(?:\.\w+|\['[^']*'\])+\s*=\s*[\w(),. \-'\"]+$"),
-    regex.compile(r"^\s*proto\.[\w.]+ = function\([\w, ]*\) \{ return [\w.]+\(.*\); \};?$"),
-    regex.compile(r"^\s*pub fn \w+_\d+\(&(?:mut )?self\) -> \S+ \{ self\.\w+\(\d+\) \}$|^\s*impl \w+ \{$|^\s*\}$"),
-]
-_ACCESSOR_KEY = [regex.compile(r"\) Get\w+\(\)"), regex.compile(r"^\s*_[A-Z]"), regex.compile(r"proto\."), regex.compile(r"pub fn \w+_\d+\(")]
 _PREAMBLE = regex.compile(r"""^\s*(?:package \w+|import\b.*|from \S+ import .*|use [\w:{}, *]+;|"[\w./\-]+"|[()]|(?:const|let|var) \{.*\} = require\(.*\);?|'use strict';?|"use strict";?)\s*$""")
 _STATEMENT = regex.compile(r"\b(?:func|fn|def|function|class|return|if|for|while|switch|match|impl|interface|defer|raise|throw)\b|=>")
 _LITERAL = regex.compile(r"""\"(?:\\.|[^"\\])*(?:\"|\Z)|'(?:\\.|[^'\\])*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d_.]*(?:[eE][-+]?\d+)?\b""", regex.S)
 _WORD = regex.compile(r"[A-Za-z_$][\w$]*")
+_TOKEN = re.compile(r"\w+")
+#: Words that make the shape of a line; all others are names (fixed words of the languages).
+_KEYWORDS = frozenset("func fn def return if else for while class struct impl pub let mut const var import from package use self nil null none true false int string bool type range in match defer and or not function new this".split())
+#: Literals that make a table of data; fewer are constants.
+FEWEST_LITERALS = 8
+#: Longest block, fewest lines that repeat it, and the share of them that need not; one line before and one after may frame the blocks.
+BLOCK, REPEATS, ODD_SHARE = 12, 7, 0.1
 
 
 @lru_cache(1)
@@ -127,45 +126,50 @@ def header_and_footer(lines: list[str]) -> list[str]:
     return head + foot
 
 
-def is_generated(lines: list[str]) -> bool:
-    if any(_is_notice(c) for c in header_and_footer(lines)):
-        return True
-    code = [x for x in lines if x.strip() and not _COMMENT.match(x) and not _PREAMBLE.match(x)]
-    for accessor, key in zip(_ACCESSORS, _ACCESSOR_KEY):
-        if sum(1 for x in code if key.search(x)) >= 3 and sum(1 for x in code if accessor.match(x)) >= 0.9 * len(code):
+def _shape(line: str) -> str:
+    return _TOKEN.sub(lambda m: m[0] if m[0] in _KEYWORDS else "0" if m[0][0].isdigit() else "x", line.strip())
+
+
+def repeats_a_block(code: list[str]) -> bool:
+    """Whether nearly every line has the shape of the line one block before, from the beginning to the end."""
+    shapes = [_shape(x) for x in code]
+    for k in range(1, BLOCK + 1):
+        same = list(map(str.__eq__, shapes, shapes[k:]))
+        if same and not same[0]:
+            same = same[1:]
+        if same and not same[-1]:
+            same = same[:-1]
+        if sum(same) >= max(REPEATS, 2 * k) and len(same) - sum(same) <= ODD_SHARE * len(same):
             return True
     return False
 
 
-def is_minified(name: str, lines: list[str]) -> bool:
-    code = [x for x in lines if not _COMMENT.match(x)]
-    size = sum(map(len, code))
-    if size < (256 if MINIFIED_NAME.search(name) else 512):
-        return False
-    text = "\n".join(code)
-    bare = _LITERAL.sub("", text)
-    if len(bare) < 0.5 * len(text):
+def _surely(share: float, n: int, above: float) -> bool:
+    """Whether a share seen in ``n`` cases lies above a bound by two standard errors."""
+    return n > 0 and share - 2 * math.sqrt(max(share * (1 - share), 1 / n) / n) > above
+
+
+def is_minified(name: str, code: list[str], text: str, bare: str) -> bool:
+    """``code``: the lines without comments, ``text`` all of them, ``bare`` without literals."""
+    if not bare or len(bare) < 0.5 * len(text):
         return False  # literals, not code
-    words = _WORD.findall(bare)
-    blank = sum(c.isspace() for c in bare) / len(bare)
-    long = sum(len(x) for x in code if len(x) > 250) / size
-    short = sum(len(w) <= 2 for w in words) / max(1, len(words))
+    named = bool(MINIFIED_NAME.search(name))
+    blank = 1 - sum(map(len, bare.split())) / len(bare)
+    long = sum(len(x) for x in code if len(x) > 250) / sum(map(len, code))
     if name.endswith(".css"):
-        return blank < 0.08 and long > 0.5
-    packed = blank < 0.12 and short > 0.4
-    return packed or (long > 0.6 and blank < (0.2 if MINIFIED_NAME.search(name) else 0.15))
+        return blank < 0.08 and (long > 0.5 or named and _surely(1 - blank, len(bare), 0.92))
+    words = _WORD.findall(bare) if blank < 0.12 else []
+    short = sum(len(w) <= 2 for w in words) / max(1, len(words))
+    return _surely(1 - blank, len(bare), 0.88) and _surely(short, len(words), 0.4 if not named else 0.3) or (long > 0.6 and blank < (0.2 if named else 0.15))
 
 
-def is_data(lines: list[str]) -> bool:
-    code = [x for x in lines if x.strip() and not _COMMENT.match(x) and not _PREAMBLE.match(x)]
-    text = "\n".join(code)
-    if len(text) < 200:
-        return False
+def is_data(body: str, bare: str) -> bool:
+    """``body``: the text without comments, imports and blank lines, ``bare`` without literals: no statement, and mostly literals that are many or nearly all."""
+    rest, whole = len("".join(bare.split())), len("".join(body.split()))
     # continued string literals keep their text on lines of their own
-    bare = _LITERAL.sub("", text)
-    if _STATEMENT.search(bare):
+    if not whole or rest >= 0.5 * whole or _STATEMENT.search(bare):
         return False
-    return len("".join(bare.split())) < 0.5 * len("".join(text.split()))
+    return rest < 0.1 * whole or len(_LITERAL.findall(body)) >= FEWEST_LITERALS
 
 
 def library_name(name: str) -> str:
@@ -187,11 +191,10 @@ def vendored_path(path: str) -> tuple[bool, str | None, str | None]:
     return sure, library_name(rest[0]) if rest and sure else None, library_name(rest[0]) if rest else parent
 
 
-def foreign_notices(lines: list[str], project: str | None) -> list[str]:
-    """Libraries whose authors' notice opens the file, other than the project's own."""
+def attributed(comments: list[str], project: str | None) -> list[str]:
+    """Names in header lines that say whose work the file is, other than the project's own."""
     own = library_name(project or "")
-    named = [m["lib"] for c in header_and_footer(lines) for p in _AUTHORS for m in [p.match(c)] if m]
-    return [x for x in map(library_name, named) if x != own]
+    return sorted({library_name(x) for c in comments if _ATTRIBUTION.search(c) for x in _NAMES.findall(c)} - {own, ""})
 
 
 def internal_imports(text: str, project: str | None) -> list[str]:
@@ -199,30 +202,41 @@ def internal_imports(text: str, project: str | None) -> list[str]:
     return sorted({library_name(x) for p in _INTERNAL_IMPORTS for x in p.findall(text)} - {own, ""})
 
 
-def body_digest(lines: list[str]) -> str | None:
+#: A body shorter than this may equal another one by chance.
+TELLING_BODY = 200
+
+
+def body_digest(code: list[str]) -> str | None:
     """A digest of the code without comments and blanks; None for a body too short to tell anything."""
-    code = [x.strip() for x in lines if x.strip() and not _COMMENT.match(x)]
     text = "\n".join(code)
-    return hashlib.sha256(text.encode()).hexdigest() if len(text) >= 200 else None
+    return hashlib.sha256(text.encode()).hexdigest() if len(text) >= TELLING_BODY else None
 
 
 def inspect(project: str | None, path: str | None, content: str | None) -> tuple:
-    """(generated, minified, data, vendored, libraries named, libraries to look up, directory, digest)."""
+    """(generated, minified, data, vendored, library named by the path, libraries to look up, directory, digest)."""
     path = path or ""
     vendored, named, directory = vendored_path(path)
     if content is None:
         return False, False, False, False, [], [], None, None
     lines = content.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    notices = foreign_notices(lines, project)
+    comments = header_and_footer(lines)
+    code = [x for x in lines if not _COMMENT.match(x)]
+    text = "\n".join(code)
+    bare = _LITERAL.sub("", text)
+    full = [x for x in code if x.strip()]
+    body = [x for x in full if not _PREAMBLE.match(x)]
+    own = "\n".join(body)
+    data = is_data(own, _LITERAL.sub("", own))
+    generated = any(map(_is_notice, comments)) or not data and repeats_a_block(body)  # tables repeat their rows, too
     return (
-        is_generated(lines), is_minified(path.lower().rsplit("/", 1)[-1], lines), is_data(lines), vendored or bool(notices),
-        sorted({*notices, *([named] if named else [])}), internal_imports("\n".join(lines), project), directory, body_digest(lines),
+        generated, is_minified(path.lower().rsplit("/", 1)[-1], code, text, bare), data, vendored,
+        [named] if named else [], sorted({*attributed(comments, project), *internal_imports("\n".join(lines), project)}), directory, body_digest([x.strip() for x in full]),
     )
 
 
 _SCHEMA = (
     "project string, rel_path string, generated boolean, minified boolean, data boolean, vendored boolean,"
-    " named array<string>, imports array<string>, directory string, digest string"
+    " named array<string>, lookups array<string>, directory string, digest string"
 )
 
 
@@ -230,7 +244,7 @@ def _inspected(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, r, *inspect(p, r, c)) for p, r, c in zip(batch["project"], batch["rel_path"], batch["content"])]
-            yield pd.DataFrame(rows, columns=["project", "rel_path", "generated", "minified", "data", "vendored", "named", "imports", "directory", "digest"])
+            yield pd.DataFrame(rows, columns=["project", "rel_path", "generated", "minified", "data", "vendored", "named", "lookups", "directory", "digest"])
 
     return spread(files.select("project", "rel_path", "content")).mapInPandas(run, _SCHEMA)
 
@@ -242,16 +256,19 @@ def code_origin(files: DataFrame) -> DataFrame:
     content has no flag at all; an empty one can still be vendored by its path.
     A null path is judged by content alone.  Repeated rows give repeated rows.
     """
-    seen = stage(_inspected(files), "code-origin").withColumn("_row", F.xxhash64(F.coalesce("project", F.lit("")), F.coalesce("rel_path", F.lit("")), F.coalesce("digest", F.lit(""))))
+    seen = stage(_inspected(files), "code-origin")
     known = seen.select(F.explode("named").alias("_lib")).where("_lib <> ''").distinct()
-    asks = seen.where("NOT vendored").select("_row", F.explode(F.array_union("imports", F.when(F.col("directory").isNotNull() & (F.size("imports") > 0), F.array("directory")).otherwise(F.array().cast("array<string>")))).alias("_lib"))
-    by_library = asks.join(known, "_lib", "left_semi").select("_row").distinct()
-    first = seen.join(by_library.withColumn("_known", F.lit(True)), "_row", "left").withColumn("vendored", F.col("vendored") | F.coalesce("_known", F.lit(False)))
-    bodies = first.where("vendored AND digest IS NOT NULL AND NOT generated AND NOT data AND NOT minified").select("digest").distinct()
-    copies = bodies.withColumn("_copy", F.lit(True))
-    return first.join(copies, "digest", "left").select(
-        "project", "rel_path", "generated", "minified", "data", (F.col("vendored") | F.coalesce("_copy", F.lit(False))).alias("vendored")
-    )
+    # a directory named like a known library counts where the file also points to a library
+    asked = F.array_union("lookups", F.when(F.col("directory").isNotNull() & (F.size("lookups") > 0), F.array("directory")).otherwise(F.array().cast("array<string>")))
+    keys = ["project", "rel_path", "digest"]
+    by_library = seen.where("NOT vendored").select(*keys, F.explode(asked).alias("_lib")).join(known, "_lib", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    same = (F.col("project").eqNullSafe(F.col("_project"))) & (F.col("rel_path").eqNullSafe(F.col("_rel_path"))) & (F.col("digest").eqNullSafe(F.col("_digest")))
+    first = seen.join(by_library.withColumn("_known", F.lit(True)), same, "left").withColumn("vendored", F.col("vendored") | F.coalesce("_known", F.lit(False)))
+    out = ["project", "rel_path", "generated", "minified", "data"]
+    bodies = first.where("vendored AND digest IS NOT NULL AND NOT generated AND NOT data AND NOT minified").select("digest").distinct().withColumn("_copy", F.lit(True))
+    # bodies too short for a digest are no copies and stay out of the join
+    told = first.where("digest IS NOT NULL").join(bodies, "digest", "left").select(*out, (F.col("vendored") | F.coalesce("_copy", F.lit(False))).alias("vendored"))
+    return told.unionAll(first.where("digest IS NULL").select(*out, "vendored"))
 
 
 def found_files(files: DataFrame) -> DataFrame:

@@ -36,8 +36,36 @@ def test_minified_and_data():
 
 def test_vendored():
     assert flags(HAND, "node_modules/libx/load.js") == "v" and flags("{}", "web/package-lock.json") == "v"
-    assert flags("// Part of libx. Written by its contributors.\n" + HAND) == "v"
-    assert flags("// Copied from libx v1.2 (https://libx.example), MIT-style terms.\n" + HAND) == "v"
+
+
+def test_attributions_reach_known_libraries(spark):
+    """A header's attribution counts, in any phrasing, where a vendored path anywhere names the library."""
+    headers = [
+        "// Part of libx. Written by its contributors.", "// Copied from libx v1.2 (https://libx.example), MIT-style terms.", "// SPDX-FileCopyrightText: 2021 the lib-x maintainers", "/* libx 4.1, released under a BSD licence */",
+        "// libx is free to use; keep this notice.", "// Taken over from github.example/someone/libx, see there.", "// © 2019 Libx",
+    ]
+    others = ["// Calls libx for every row.", "// Part of libw. Written by its contributors.", "// Copyright the mine authors.", "// The order matters."]
+    rows = [("other", "vendor/libx/a.go", "package a\n")] + [("mine", f"core/{i}.go", f"{h}\n{HAND.replace('Load', f'Load{i}')}") for i, h in enumerate(headers + others)]
+    rows.append(("libx", "core/own.go", f"{headers[0]}\n{HAND.replace('Load', 'Own')}"))
+    got = {r.rel_path for r in c.found_files(spark.createDataFrame(rows, "project string, rel_path string, content string")).collect()}
+    assert got == {"vendor/libx/a.go", *(f"core/{i}.go" for i in range(len(headers)))}
+
+
+def test_repeated_blocks():
+    rust = "use a::b;\n\nimpl A {\n" + "".join(f"    pub fn get_{x}(&self) -> u8 {{ self.at({i}) }}\n" for i, x in enumerate("abcdefgh")) + "}\n"
+    script = "import {a} from './a.js';\n\n" + "".join(f"reg.{x}.set = (v) => {{\n  this.put({i}, v);\n}};\n" for i, x in enumerate("abcdefgh"))
+    fields = "".join(f"_F['{x}']._at = {i}\n_F['{x}']._to = ({i}, {i + 4})\n" for i, x in enumerate("abcdefgh"))
+    assert [flags(rust, "a.rs"), flags(script, "a.js"), flags(fields, "a.py")] == ["g", "g", "g"]
+    by_hand = "def f(a):\n    x = g(a)\n    y = h(x)\n    if y:\n        return x\n    for r in y:\n        put(r)\n    return y\n"
+    other = "def k(a):\n    try:\n        return f(a)\n    except E:\n        return None\n"
+    assert flags(by_hand + other + by_hand, "a.py") == "" and flags("x = f(1)\ny = f(2)\nz = f(3)\n", "a.py") == ""
+
+
+def test_short_files():
+    """Short files are judged by the same rules, as far as their few words prove anything."""
+    assert flags("var a=1,b=2;c(a,b);d(b);e(c);f(a);g(b);h(a);i(c);j(a);k(b);l(c);m(d);n(a);o(b)", "web/a.min.js") == "m"
+    assert flags("run(a, b)\n", "web/a.min.js") == "" and flags("x=f(1)\n", "a.py") == "" and flags("", "a.min.js") == ""
+    assert flags("ROWS = [1001, 2213, 3477, 4019, 5261, 6007, 7703, 8101, 9467]\n", "a.py") == "d" and flags('NAME = "plan"\nLIMIT = 4\n', "a.py") == ""
 
 
 def test_library_names_and_copies_reach_other_files(spark):

@@ -20,6 +20,11 @@ CALLABLE_KINDS = ("func", "method")
 
 #: Size of an input table from which on its slices are settled.
 SETTLE_BYTES = 256 << 20
+#: Flows within a symbol: between its parameters, receiver, state, calls and results.
+FLOW_EDGES = (
+    "snapshot_id long, owner_package_import_path string, owner_symbol_key string, file_path string, line int, col int, kind string,"
+    " source_kind string, source_label string, source_symbol_key string, target_kind string, target_label string, target_symbol_key string"
+)
 #: What the derived tables are made of.
 SOURCES = {"packages": ("symbols",), "package_deps": ("symbols", "calls", "refs"), "tests": ("test_links",)}
 
@@ -57,14 +62,18 @@ class Facts:
     by every branch of a plan that needs them again, if the table they are cut
     from is at least ``SETTLE_BYTES`` large; cleaning a smaller one again costs
     less than a job of its own.
+
+    ``tables`` are used instead of files of their names, and may include
+    packages, package_deps, tests and flow_edges, which are derived (or empty)
+    where no table is given; so a ``Store`` can be queried, too.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False) -> None:
-        self.spark, self.sf_dir, self.settle = spark, sf_dir, settle
+    def __init__(self, spark: SparkSession, sf_dir: str = "", settle: bool = False, tables: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.sf_dir, self.settle, self.tables = spark, sf_dir, settle, tables or {}
         self._written: dict[tuple[str, int], DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        return self.tables[name] if name in self.tables else load(self.spark, self.sf_dir, name)
 
     @cached_property
     def snapshot_ids(self) -> list[int]:
@@ -76,8 +85,17 @@ class Facts:
         return self.snapshot_ids[-1]
 
     @property
-    def previous(self) -> int:
-        return self.snapshot_ids[-2]
+    def previous(self) -> int | None:
+        """What the current snapshot is compared with: its parent, or the one before it by id; None if there is neither."""
+        if self.parent is not None:
+            return self.parent
+        return self.snapshot_ids[-2] if len(self.snapshot_ids) > 1 else None
+
+    @cached_property
+    def parent(self) -> int | None:
+        """The parent of the current snapshot, what its changes are told against; None for the first."""
+        row = self.raw("snapshots").where(F.col("id") == self.current).select("parent_id").first()
+        return row[0] if row else None
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -108,15 +126,21 @@ class Facts:
 
     @cached_property
     def packages(self) -> DataFrame:
-        return packages_of(self.symbols)
+        return self.tables["packages"] if "packages" in self.tables else packages_of(self.symbols)
+
+    @cached_property
+    def flow_edges(self) -> DataFrame:
+        return self.tables["flow_edges"] if "flow_edges" in self.tables else self.spark.createDataFrame([], FLOW_EDGES)
 
     @cached_property
     def package_deps(self) -> DataFrame:
+        if "package_deps" in self.tables:
+            return self.tables["package_deps"]
         return package_deps_of(self.symbols, self.calls, self.refs, self.raw("external_symbols"))
 
     @cached_property
     def tests(self) -> DataFrame:
-        return tests_of(self.test_links)
+        return self.tables["tests"] if "tests" in self.tables else tests_of(self.test_links)
 
     def at(self, name: str, snapshot_id: int | None = None) -> DataFrame:
         """A table at one snapshot, by default the current one, without the snapshot column."""
@@ -129,13 +153,17 @@ class Facts:
 
     def _large(self, name: str) -> bool:
         table = SOURCES.get(name, (name,))[0]
+        if name in self.tables:
+            return False
         plan = self.raw({"calls": "call_edges"}.get(table, table))._jdf.queryExecution().optimizedPlan()
         return int(str(plan.stats().sizeInBytes())) >= SETTLE_BYTES
 
     def _slice(self, name: str, sid: int) -> DataFrame:
         """A table of one snapshot; derived tables come from the slices of their sources."""
-        part = {t: self.at(t, sid).withColumn("snapshot_id", F.lit(sid).cast("long")) for t in SOURCES.get(name, ())}
-        if name == "packages":
+        part = {} if name in self.tables else {t: self.at(t, sid).withColumn("snapshot_id", F.lit(sid).cast("long")) for t in SOURCES.get(name, ())}
+        if name in self.tables and name in SOURCES:
+            table = self.tables[name].where(F.col("snapshot_id") == sid)
+        elif name == "packages":
             table = packages_of(part["symbols"])
         elif name == "package_deps":
             table = package_deps_of(part["symbols"], part["calls"], part["refs"], self.raw("external_symbols"))
@@ -165,7 +193,7 @@ def _one_per_key(table: str, key: tuple[str, ...], rest: tuple[str, ...], where:
 
 BASE_SQL = f"""
 cur AS (SELECT max(id) AS id FROM snapshots),
-prv AS (SELECT max(id) AS id FROM snapshots WHERE id < (SELECT id FROM cur)),
+prv AS (SELECT coalesce((SELECT parent_id FROM snapshots WHERE id = (SELECT id FROM cur)), (SELECT max(id) FROM snapshots WHERE id < (SELECT id FROM cur))) AS id),
 pairs AS (SELECT * FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev_id FROM (SELECT DISTINCT id FROM snapshots)) WHERE prev_id IS NOT NULL),
 sym AS (SELECT * REPLACE (coalesce(doc, '') AS doc, coalesce(signature, '') AS signature, coalesce(receiver, '') AS receiver)
   FROM ({_one_per_key('symbols', KEYS['symbols'], ('qname', 'package_import_path', 'file_path', 'name', 'kind', 'receiver', 'signature', 'doc'))})),

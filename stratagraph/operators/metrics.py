@@ -46,6 +46,18 @@ def package_metrics(f: Facts, sid: int | None = None) -> DataFrame:
     return joined.withColumn("importance", F.col("reverse_deps") * 4 + F.col("symbol_count") + F.col("test_count") * 2)
 
 
+def package_counts(f: Facts) -> DataFrame:
+    """The counts of every package of every snapshot: snapshot_id, import_path, file_count, symbol_count, test_count, local_deps, reverse_deps."""
+    key = ["snapshot_id", "import_path"]
+    symbols = f.symbols.groupBy("snapshot_id", F.col("package_import_path").alias("import_path")).agg(F.count(F.lit(1)).alias("symbol_count"))
+    tested = f.tests.groupBy("snapshot_id", F.col("package_import_path").alias("import_path")).agg(F.count(F.lit(1)).alias("test_count"))
+    local = f.package_deps.where("is_local")
+    deps = local.groupBy("snapshot_id", F.col("from_package_import_path").alias("import_path")).agg(F.count_distinct("to_package_import_path").alias("local_deps"))
+    rdeps = local.groupBy("snapshot_id", F.col("to_package_import_path").alias("import_path")).agg(F.count_distinct("from_package_import_path").alias("reverse_deps"))
+    joined = reduce(lambda a, b: a.join(b, key, "left"), [symbols, tested, deps, rdeps], f.packages.select(*key, "file_count"))
+    return joined.fillna(0, ["symbol_count", "test_count", "local_deps", "reverse_deps"])
+
+
 def symbol_metrics(f: Facts, sid: int | None = None) -> DataFrame:
     """Symbols with their caller, callee, reference, test, reverse-dependency and method counts."""
     parts = [callers(f, sid), callees(f, sid), references(f, sid), tests(f, sid)]

@@ -72,17 +72,62 @@ def directory(path: str) -> Column:
 
 
 def with_change(f: Facts, rows: DataFrame, path: str, package: str) -> DataFrame:
-    """Adds change_boost and change_distance: 8/0 changed file, 5/1 same package, 3/2 same directory, else 0/-1."""
-    touched = delta.added_files(f, f.previous, f.current).select("rel_path").unionAll(delta.changed_files(f, f.previous, f.current).select("rel_path")).distinct()
+    """Adds change_boost and change_distance: 8/0 changed file, 5/1 same package, 3/2 same directory, else 0/-1.
+
+    Changes are those since the parent of the current snapshot; the first snapshot has none.
+    """
+    if f.parent is None:
+        return rows.withColumn("change_boost", F.lit(0)).withColumn("change_distance", F.lit(-1))
+    touched = delta.added_files(f, f.parent, f.current).select("rel_path").unionAll(delta.changed_files(f, f.parent, f.current).select("rel_path")).distinct()
     files = touched.select(F.col("rel_path").alias(path), F.lit(True).alias("_file"))
     dirs = touched.select(directory("rel_path").alias("_dir")).distinct().withColumn("_near", F.lit(True))
-    packages = delta.changed_packages(f, f.previous, f.current).select(F.col("import_path").alias(package), F.lit(True).alias("_package")).where(f"{package} <> ''")
+    packages = delta.changed_packages(f, f.parent, f.current).select(F.col("import_path").alias(package), F.lit(True).alias("_package")).where(f"{package} <> ''")
     joined = rows.withColumn("_dir", directory(path)).join(files, path, "left").join(packages, package, "left").join(dirs, "_dir", "left")
     boost = F.when(F.col("_file"), 8).when(F.col("_package"), 5).when(F.col("_near"), 3).otherwise(0)
     distance = F.when(F.col("_file"), 0).when(F.col("_package"), 1).when(F.col("_near"), 2).otherwise(-1)
     return joined.withColumn("change_boost", boost).withColumn("change_distance", distance).drop("_dir", "_file", "_package", "_near")
 
 
+# -- reasons of a score, in order ------------------------------------------------------
+
+
+def _counted(*pairs: tuple[str, str]) -> list[Column]:
+    return [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + text))) for c, text in pairs]
+
+
+def entry_why(path: str) -> Column:
+    """Why a file gets the bonus of ``entry_file``."""
+    p = F.concat(F.lit("/"), F.col(path))
+    rules = [(p.endswith("/__main__.py"), "python entrypoint file"), (p.endswith("/main.go") | p.endswith("/main.rs"), "main entrypoint file")]
+    rules += [(p.contains(f"/{d}/"), f"{said} entrypoint surface") for d, said in (("cmd", "cmd"), ("bin", "bin"), ("cli", "cli"), ("scripts", "script"), ("examples", "example"), ("example", "example"))]
+    out = F.lit(None).cast("string")
+    for hit, text in reversed(rules):
+        out = F.when(hit, text).otherwise(out)
+    return out
+
+
+def _change_why() -> Column:
+    return F.when(F.col("change_distance") == 0, "recently changed file").when(F.col("change_distance") == 1, "near recent changes in same package").when(F.col("change_distance") == 2, "near recent changes in same directory")
+
+
+def _joined(parts: list[Column]) -> Column:
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*parts))), "; ")
+
+
+def symbol_reasons() -> Column:
+    counts = _counted(("caller_count", "callers"), ("reference_count", "inbound refs"), ("test_count", "direct tests"), ("reverse_package_deps", "reverse package deps"), ("method_count", "attached methods"))
+    return _joined([*counts, entry_why("file_path"), F.when(entry_symbol() > 0, "main entrypoint symbol"), _change_why()])
+
+
+def package_reasons() -> Column:
+    return _joined([*_counted(("reverse_deps", "reverse package deps"), ("symbol_count", "indexed symbols"), ("test_count", "related tests")), F.when(F.col("changed"), "recently changed package")])
+
+
+def file_reasons() -> Column:
+    counts = _counted(("inbound_calls", "inbound calls"), ("inbound_refs", "inbound refs"), ("related_tests", "related tests"), ("reverse_package_deps", "reverse package deps"), ("relevant_symbols", "relevant symbols"))
+    return _joined([*counts, entry_why("rel_path"), _change_why()])
+
+
 def _ranked_symbols(f: Facts, kinds: tuple[str, ...], weights: dict[str, int], limit: int) -> DataFrame:
     """Two stages: the best by graph score, at least 24, then the best of those with bonuses."""
     rows = metrics.symbol_metrics(f).where(F.col("kind").isin(*kinds)).withColumn("graph_score", weighted(weights))
@@ -101,8 +146,11 @@ def top_types(f: Facts, limit: int = 8) -> DataFrame:
 
 def top_packages(f: Facts, limit: int = 8) -> DataFrame:
     pool = metrics.package_metrics(f).orderBy(F.desc("reverse_deps"), F.desc("symbol_count"), F.desc("test_count"), "import_path").limit(max(4 * limit, 24))
-    changed = delta.changed_packages(f, f.previous, f.current).select("import_path", F.lit(True).alias("_changed"))
-    scored = pool.join(changed, "import_path", "left").withColumn("score", F.col("importance") + F.when(F.col("_changed"), CHANGED_PACKAGE_BONUS).otherwise(0)).drop("_changed")
+    if f.parent is None:
+        changed = pool.select("import_path", F.lit(True).alias("_changed")).limit(0)
+    else:
+        changed = delta.changed_packages(f, f.parent, f.current).select("import_path", F.lit(True).alias("_changed"))
+    scored = pool.join(changed, "import_path", "left").withColumn("score", F.col("importance") + F.when(F.col("_changed"), CHANGED_PACKAGE_BONUS).otherwise(0)).withColumn("changed", F.coalesce("_changed", F.lit(False))).drop("_changed")
     return scored.orderBy(F.desc("score"), "import_path").limit(limit)
 
 

@@ -99,7 +99,7 @@ def agg_pkg_diff_metrics(f: Facts) -> DataFrame:
 _IN_CALLS = "SELECT t.file_path AS rel_path, count(DISTINCT c.caller_symbol_key || '|' || c.file_path || '|' || c.line) AS inbound_calls FROM ce_c c JOIN sym_c t ON t.symbol_key = c.callee_symbol_key GROUP BY 1"
 _IN_REFS = "SELECT t.file_path AS rel_path, count(DISTINCT r.from_symbol_key || '|' || r.file_path || '|' || r.line) AS inbound_refs FROM rf_c r JOIN sym_c t ON t.symbol_key = r.to_symbol_key WHERE r.from_symbol_key <> '' GROUP BY 1"
 _RELEVANT = "s.kind IN ('func', 'method', 'struct', 'interface', 'type', 'alias', 'class') AND NOT s.is_test"
-_FS = f"""{_PM}, fs AS (
+_FS_ONLY = f""", fs AS (
   SELECT f.rel_path, f.package_import_path, f.size_bytes, f.is_test,
     count(DISTINCT s.symbol_key) AS symbol_count,
     count(DISTINCT CASE WHEN s.kind = 'func' AND NOT s.is_test THEN s.symbol_key END) AS func_count,
@@ -112,6 +112,7 @@ _FS = f"""{_PM}, fs AS (
   FROM fl_c f LEFT JOIN sym_c s ON s.file_path = f.rel_path LEFT JOIN ts_c t ON t.file_path = f.rel_path LEFT JOIN tl_c tl ON tl.symbol_key = s.symbol_key
     LEFT JOIN ({_IN_CALLS}) ic ON ic.rel_path = f.rel_path LEFT JOIN ({_IN_REFS}) ir ON ir.rel_path = f.rel_path LEFT JOIN pm ON pm.import_path = f.package_import_path
   GROUP BY f.rel_path, f.package_import_path, f.size_bytes, f.is_test)"""
+_FS = f"{_PM}{_FS_ONLY}"
 _FS_COLUMNS = ["rel_path", "package_import_path", "symbol_count", "func_count", "method_count", "type_count", "declared_tests", "related_tests", "relevant_symbols", "linked_symbols", "inbound_calls", "inbound_refs", "reverse_package_deps"]
 
 
@@ -140,21 +141,6 @@ def agg_counts(f: Facts) -> DataFrame:
     return metrics.table_counts(f)
 
 
-_SV = """, sv AS (
-  SELECT coalesce(n.snapshot_id, b.snapshot_id) AS snapshot_id, coalesce(n.symbol_key, b.symbol_key) AS symbol_key, coalesce(n.qname, b.qname) AS qname,
-    coalesce(n.package_import_path, b.package_import_path) AS package_import_path, coalesce(n.file_path, b.file_path) AS file_path,
-    CASE WHEN b.symbol_key IS NULL THEN 'added' WHEN n.symbol_key IS NULL THEN 'removed' ELSE 'changed' END AS change,
-    coalesce(n.signature <> b.signature, false) AS contract_changed, coalesce(n.file_path <> b.file_path OR n.line <> b.line, false) AS moved
-  FROM (SELECT s.* FROM sym s JOIN pairs p ON s.snapshot_id = p.id) n
-  FULL JOIN (SELECT s.* REPLACE (p.id AS snapshot_id) FROM sym s JOIN pairs p ON s.snapshot_id = p.prev_id) b ON n.snapshot_id = b.snapshot_id AND n.symbol_key = b.symbol_key),
-svc AS (SELECT * FROM sv WHERE change <> 'changed' OR contract_changed OR moved)"""
-
-
-@facts_query(f"{_SV} SELECT snapshot_id, count(DISTINCT qname) AS changed_symbols FROM svc GROUP BY 1")
-def agg_changed_symbols(f: Facts) -> DataFrame:
-    return delta.changed_symbol_counts(f)
-
-
 @facts_query("SELECT a.id, max(b.id) AS previous_id FROM snapshots a LEFT JOIN snapshots b ON b.id < a.id GROUP BY 1")
 def agg_max_prev(f: Facts) -> DataFrame:
     ids = f.raw("snapshots").select("id").distinct()
@@ -364,67 +350,7 @@ def semi_reverse_deps(f: Facts) -> DataFrame:
     return graph.reverse_dependencies(f, f.at("packages").where(F.col("import_path") == f.largest_package()))
 
 
-def _impact_sql() -> str:
-    calls, refs, links = _edges_sql("ce", delta.CALL_KEY), _edges_sql("rf", delta.REF_KEY), _edges_sql("tl", delta.LINK_KEY)
-    label = "SELECT trim(coalesce(s.qname, e.k)) AS qname, e.event FROM ev0 e LEFT JOIN (SELECT 'added' AS change, symbol_key, qname FROM {sym_new} UNION ALL SELECT 'removed', symbol_key, qname FROM {sym_old}) s ON s.symbol_key = e.k AND s.change = e.change"
-    counters = [f"{c}_{k}" for c in ("added", "removed") for k in ("callers", "callees", "refs_in", "refs_out", "tests")]
-    return f""", dc AS ({calls}), dr AS ({refs}), dl AS ({links}), cs AS ({_CS}),
-    ev0 AS (SELECT callee_symbol_key AS k, change, change || '_callers' AS event FROM dc UNION ALL SELECT caller_symbol_key, change, change || '_callees' FROM dc
-      UNION ALL SELECT to_symbol_key, change, change || '_refs_in' FROM dr UNION ALL SELECT from_symbol_key, change, change || '_refs_out' FROM dr UNION ALL SELECT symbol_key, change, change || '_tests' FROM dl),
-    ev AS ({_two(label)}
-      UNION ALL SELECT trim(qname), 'status_added' FROM ({_two("SELECT n.qname FROM {sym_new} n ANTI JOIN {sym_old} o USING (qname)")})
-      UNION ALL SELECT trim(qname), 'status_removed' FROM ({_two("SELECT n.qname FROM {sym_old} n ANTI JOIN {sym_new} o USING (qname)")})
-      UNION ALL SELECT trim(qname), 'status_changed' FROM cs UNION ALL SELECT trim(qname), 'contract' FROM cs WHERE contract_changed UNION ALL SELECT trim(qname), 'moved' FROM cs WHERE moved),
-    im0 AS (SELECT qname, {', '.join(f"count(*) FILTER (event = '{c}') AS {c}" for c in counters)}, bool_or(event = 'status_removed') AS r, bool_or(event = 'status_added') AS a, bool_or(event = 'status_changed') AS ch,
-      bool_or(event = 'contract') AS contract_changed, bool_or(event = 'moved') AS moved FROM ev WHERE qname <> '' GROUP BY qname),
-    im AS (SELECT qname, CASE WHEN r THEN 'removed' WHEN a THEN 'added' WHEN ch THEN 'changed' ELSE '' END AS status, contract_changed, moved, {', '.join(counters)}, {' + '.join(counters)} AS blast_radius FROM im0),
-    imp AS (SELECT *, blast_radius + CASE status WHEN 'added' THEN 12 WHEN 'removed' THEN 12 WHEN 'changed' THEN 8 ELSE 0 END + CASE WHEN contract_changed THEN 8 ELSE 0 END + CASE WHEN moved THEN 4 ELSE 0 END AS delta_score FROM im)"""
-
-
-@facts_query(f"{_impact_sql()} SELECT * FROM imp", settle=True)
-def agg_impacted_symbols(f: Facts) -> DataFrame:
-    return delta.impacted_symbols(f, f.previous, f.current)
-
-
-@facts_query(f"{_impact_sql()} SELECT qname, status, blast_radius, delta_score FROM imp ORDER BY delta_score DESC, qname LIMIT 20", settle=True)
-def top_impacted(f: Facts) -> DataFrame:
-    rows = delta.impacted_symbols(f, f.previous, f.current)
-    return rows.select("qname", "status", "blast_radius", "delta_score").orderBy(F.desc("delta_score"), "qname").limit(20)
-
-
-# --- history and co-change ---------------------------------------------------------------
-
-
-@facts_query(f"{_SV} SELECT snapshot_id, symbol_key, change, contract_changed, moved FROM svc")
-def agg_symbol_event(f: Facts) -> DataFrame:
-    return delta.symbol_versions(f).select("snapshot_id", "symbol_key", "change", "contract_changed", "moved")
-
-
-@facts_query(
-    f"""{_SV} SELECT snapshot_id, package_import_path, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (moved) AS moved, count(*) FILTER (contract_changed) AS contracts
-    FROM svc GROUP BY 1, 2"""
-)
-def agg_package_event(f: Facts) -> DataFrame:
-    return delta.symbol_versions(f).groupBy("snapshot_id", "package_import_path").agg(
-        F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"), F.count_if("moved").alias("moved"), F.count_if("contract_changed").alias("contracts")
-    )
-
-
-@facts_query(
-    f"""{_SV}, mine AS (SELECT snapshot_id, {', '.join(delta.CALL_KEY)} FROM ce WHERE callee_symbol_key = (SELECT k FROM anchor) OR caller_symbol_key = (SELECT k FROM anchor)),
-    n AS (SELECT * FROM mine WHERE snapshot_id IN (SELECT id FROM pairs)), b AS (SELECT m.* REPLACE (p.id AS snapshot_id) FROM mine m JOIN pairs p ON m.snapshot_id = p.prev_id),
-    e AS (SELECT snapshot_id, count(*) FILTER (sign = 'added') AS added_calls, count(*) FILTER (sign = 'removed') AS removed_calls FROM (
-      SELECT *, 'added' AS sign FROM n ANTI JOIN b USING (snapshot_id, {', '.join(delta.CALL_KEY)}) UNION ALL SELECT *, 'removed' FROM b ANTI JOIN n USING (snapshot_id, {', '.join(delta.CALL_KEY)})) GROUP BY 1)
-    SELECT snapshot_id, coalesce(change, 'touched') AS change, coalesce(contract_changed, false) AS contract_changed, coalesce(moved, false) AS moved, coalesce(added_calls, 0) AS added_calls, coalesce(removed_calls, 0) AS removed_calls
-    FROM (SELECT * FROM svc WHERE symbol_key = (SELECT k FROM anchor)) FULL JOIN e USING (snapshot_id)"""
-)
-def vw_symbol_history(f: Facts) -> DataFrame:
-    return delta.symbol_history(f, f.busiest_symbol())
-
-
-@facts_query(f"{_SV} SELECT snapshot_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (moved) AS moved, count(*) FILTER (contract_changed) AS contracts FROM svc WHERE package_import_path = (SELECT p FROM anchor_pkg) GROUP BY 1")
-def vw_package_history(f: Facts) -> DataFrame:
-    return delta.package_history(f, f.largest_package())
+# --- the order of snapshots ---------------------------------------------------------------
 
 
 @facts_query("SELECT qname, min(snapshot_id) AS first_snapshot, max(snapshot_id) AS last_snapshot, count(DISTINCT snapshot_id) AS snapshots FROM sym GROUP BY 1")
@@ -437,30 +363,6 @@ def win_prev_snapshot(f: Facts) -> DataFrame:
     return f.raw("snapshots").select("id").distinct().withColumn("prev_id", F.lag("id").over(Window.orderBy("id"))).where("prev_id IS NOT NULL")
 
 
-def _co_sql(label: str, own: str) -> str:
-    return f"""{_SV}, hits AS (SELECT DISTINCT snapshot_id FROM svc WHERE package_import_path = (SELECT p FROM anchor_pkg))
-    SELECT label, count(*) AS change_count, round(count(*) * 1.0 / (SELECT count(*) FROM hits), 6) AS frequency FROM (
-      SELECT DISTINCT snapshot_id, {label} AS label FROM svc WHERE snapshot_id IN (SELECT snapshot_id FROM hits) AND {label} <> '') WHERE label NOT IN ({own}) GROUP BY 1"""
-
-
-@facts_query(_co_sql("package_import_path", "SELECT p FROM anchor_pkg"))
-def agg_cochange_package(f: Facts) -> DataFrame:
-    package = f.largest_package()
-    anchor = delta.symbol_versions(f).where(F.col("package_import_path") == package)
-    return delta.cochange(f, anchor, "package_import_path", [package]).select("label", "change_count", F.round("frequency", 6).alias("frequency"))
-
-
-@facts_query(_co_sql("file_path", "''"))
-def agg_cochange_symbol(f: Facts) -> DataFrame:
-    anchor = delta.symbol_versions(f).where(F.col("package_import_path") == f.largest_package())
-    return delta.cochange(f, anchor, "file_path", [""]).select("label", "change_count", F.round("frequency", 6).alias("frequency"))
-
-
-@facts_query(f"{_co_sql('file_path', chr(39) * 2)} ORDER BY change_count DESC, label LIMIT 8")
-def top_cochange(f: Facts) -> DataFrame:
-    return agg_cochange_symbol(f).orderBy(F.desc("change_count"), "label").limit(8)
-
-
 # --- walks -----------------------------------------------------------------------------------
 
 
@@ -497,35 +399,6 @@ def rec_snapshot_chain(f: Facts) -> DataFrame:
     return a.join(b, F.col("parent_id") == F.col("_id"), "left").select("id", "parent_id", (F.col("_id").isNotNull() | F.col("parent_id").isNull()).alias("chained"))
 
 
-@facts_query(
-    f"""{_walk_sql('callee_symbol_key', 'caller_symbol_key', 3)}, bl AS (
-      SELECT s.package_import_path AS label, 'direct caller' AS why FROM ce_c c JOIN sym_c s ON s.symbol_key = c.caller_symbol_key WHERE c.callee_symbol_key = (SELECT k FROM anchor)
-      UNION SELECT package_import_path, 'transitive caller' FROM wn
-      UNION SELECT s.package_import_path, 'inbound reference' FROM rf_c r JOIN sym_c s ON s.symbol_key = r.from_symbol_key WHERE r.to_symbol_key = (SELECT k FROM anchor) AND r.from_symbol_key <> ''
-      UNION SELECT from_package_import_path, 'reverse package dependency' FROM pd_c WHERE to_package_import_path = (SELECT package_import_path FROM sym_c WHERE symbol_key = (SELECT k FROM anchor)))
-    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1""",
-    settle=True,
-)
-def set_blast_packages(f: Facts) -> DataFrame:
-    return graph.blast_packages(f, f.busiest_symbol())
-
-
-@facts_query(
-    """, bl AS (SELECT c.file_path AS label, 'call site' AS why FROM ce_c c JOIN sym_c s ON s.symbol_key = c.caller_symbol_key WHERE c.callee_symbol_key = (SELECT k FROM anchor)
-      UNION SELECT r.file_path, 'reference site' FROM rf_c r JOIN sym_c s ON s.symbol_key = r.from_symbol_key WHERE r.to_symbol_key = (SELECT k FROM anchor) AND r.from_symbol_key <> ''
-      UNION SELECT t.file_path, 'related test' FROM tl_c l JOIN ts_c t ON t.test_key = l.test_key WHERE l.symbol_key = (SELECT k FROM anchor))
-    SELECT label, string_agg(why, '; ' ORDER BY why) AS why FROM bl WHERE label <> '' GROUP BY 1""",
-    settle=True,
-)
-def set_blast_files(f: Facts) -> DataFrame:
-    return graph.blast_files(f, f.busiest_symbol())
-
-
-@facts_query(f"{_SV} SELECT DISTINCT snapshot_id, package_import_path AS label FROM svc WHERE package_import_path <> ''")
-def set_diff_packages(f: Facts) -> DataFrame:
-    return delta.symbol_versions(f).where("package_import_path <> ''").select("snapshot_id", F.col("package_import_path").alias("label")).distinct()
-
-
 # --- rankings -------------------------------------------------------------------------------------
 
 
@@ -545,8 +418,9 @@ def _dir(path: str) -> str:
     return f"CASE WHEN contains({path}, '/') THEN regexp_replace({path}, '/[^/]*$', '') ELSE '.' END"
 
 
-_TOUCHED = f"""{_FO}, touched AS ({_two("SELECT n.rel_path FROM {fl_new} n LEFT JOIN {fl_old} o USING (rel_path) WHERE o.snapshot_id IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash")}),
+_TOUCHED_ONLY = f""", touched AS ({_two("SELECT n.rel_path FROM {fl_new} n LEFT JOIN {fl_old} o USING (rel_path) WHERE o.snapshot_id IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash")}),
 near AS (SELECT DISTINCT {_dir('rel_path')} AS d FROM touched)"""
+_TOUCHED = f"{_FO}{_TOUCHED_ONLY}"
 
 
 def _boost(path: str, package: str) -> str:
@@ -584,7 +458,8 @@ def top_packages(f: Facts) -> DataFrame:
     return rank.top_packages(f).select("import_path", "importance", "score")
 
 
-_FILES = f"{_FS}{_TOUCHED}, sf0 AS (SELECT *, {_weights(rank.FILE_WEIGHTS)} AS graph_score, {_boost('rel_path', 'package_import_path')} AS change_boost FROM fs), sf AS (SELECT *, graph_score + {_entry('rel_path')} + change_boost AS quality_score FROM sf0)"
+_SF_ONLY = f", sf0 AS (SELECT *, {_weights(rank.FILE_WEIGHTS)} AS graph_score, {_boost('rel_path', 'package_import_path')} AS change_boost FROM fs), sf AS (SELECT *, graph_score + {_entry('rel_path')} + change_boost AS quality_score FROM sf0)"
+_FILES = f"{_FS}{_TOUCHED}{_SF_ONLY}"
 
 
 @facts_query(f"{_FILES} SELECT rel_path, graph_score, quality_score FROM sf ORDER BY quality_score DESC, rel_path LIMIT 8", settle=True)

@@ -1,13 +1,7 @@
-"""Differences between two snapshots, between all consecutive ones, history and co-change.
-
-The all-pairs forms shift one side's snapshot id to the next one and join once,
-so the number of joins does not grow with the number of snapshots.
-"""
+"""Differences between two snapshots as single lists; ``history`` has those of all pairs at once."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..facts import Facts
@@ -77,113 +71,5 @@ def changed_packages(f: Facts, old: int, new: int) -> DataFrame:
     return both.where(" OR ".join(f"from_{c} <> to_{c}" for c in PACKAGE_COUNTS))
 
 
-def _labelled(f: Facts, edges: DataFrame, key: str, out: str, old: int, new: int) -> DataFrame:
-    """The qname of a key in the snapshot the edge is in, or the raw key."""
-    names = f.at("symbols", new).select(F.col("symbol_key").alias(key), F.col("qname").alias("_new")).join(
-        f.at("symbols", old).select(F.col("symbol_key").alias(key), F.col("qname").alias("_old")), key, "full_outer"
-    )
-    name = F.when(F.col("change") == "added", F.col("_new")).otherwise(F.col("_old"))
-    return edges.join(names, key, "left").withColumn(out, F.coalesce(name, F.col(key))).drop("_new", "_old")
-
-
-def impacted_symbols(f: Facts, old: int, new: int) -> DataFrame:
-    """Per qname: status, contract and move flags, added and removed edges of each kind, blast radius and delta score."""
-    counters = ["callers", "callees", "refs_in", "refs_out", "tests"]
-
-    def one(rows: DataFrame, name: str, counter: str) -> DataFrame:
-        return rows.where(F.trim(name) != "").select(F.trim(name).alias("qname"), F.concat("change", F.lit("_" + counter)).alias("event"))
-
-    calls = edge_changes(f, "calls", CALL_KEY, old, new)
-    refs = edge_changes(f, "refs", REF_KEY, old, new)
-    links = edge_changes(f, "test_links", LINK_KEY, old, new)
-    events = [
-        one(_labelled(f, calls, "callee_symbol_key", "_q", old, new), "_q", "callers"),
-        one(_labelled(f, calls, "caller_symbol_key", "_q", old, new), "_q", "callees"),
-        one(_labelled(f, refs, "to_symbol_key", "_q", old, new), "_q", "refs_in"),
-        one(_labelled(f, refs, "from_symbol_key", "_q", old, new), "_q", "refs_out"),
-        one(_labelled(f, links, "symbol_key", "_q", old, new), "_q", "tests"),
-        added_symbols(f, old, new).select(F.trim("qname").alias("qname"), F.lit("status_added").alias("event")),
-        removed_symbols(f, old, new).select(F.trim("qname").alias("qname"), F.lit("status_removed").alias("event")),
-    ]
-    moved = changed_symbols(f, old, new).select(
-        F.trim("qname").alias("qname"),
-        F.explode(F.array_compact(F.array(F.lit("status_changed"), F.when(F.col("contract_changed"), F.lit("contract")), F.when(F.col("moved"), F.lit("moved"))))).alias("event"),
-    )
-    rows = reduce(DataFrame.unionAll, [*events, moved])
-    edges = [f"{change}_{c}" for change in ("added", "removed") for c in counters]
-    folded = rows.groupBy("qname").agg(
-        *[F.count_if(F.col("event") == e).alias(e) for e in edges],
-        *[(F.count_if(F.col("event") == e) > 0).alias(f"_{e}") for e in ("status_added", "status_removed", "status_changed", "contract", "moved")],
-    )
-    status = F.when(F.col("_status_removed"), "removed").when(F.col("_status_added"), "added").when(F.col("_status_changed"), "changed").otherwise("")
-    blast = reduce(lambda a, b: a + b, [F.col(e) for e in edges])
-    out = folded.withColumn("status", status).withColumn("blast_radius", blast)
-    score = F.col("blast_radius") + F.when(F.col("status").isin("added", "removed"), 12).when(F.col("status") == "changed", 8).otherwise(0)
-    score = score + F.when(F.col("_contract"), 8).otherwise(0) + F.when(F.col("_moved"), 4).otherwise(0)
-    return out.select("qname", "status", F.col("_contract").alias("contract_changed"), F.col("_moved").alias("moved"), *edges, "blast_radius", score.alias("delta_score"))
-
-
-# -- all consecutive pairs at once -----------------------------------------------------
-
-
-def _shifted(f: Facts, rows: DataFrame) -> DataFrame:
-    """Rows of each snapshot under the id of the next one."""
-    return rows.join(f.pairs, rows["snapshot_id"] == F.col("prev_id")).drop("snapshot_id", "prev_id").withColumnRenamed("id", "snapshot_id")
-
-
-def symbol_versions(f: Facts) -> DataFrame:
-    """Added, removed and changed symbols by symbol key for every snapshot but the first: snapshot_id, qname, file_path, package_import_path, change, contract_changed, moved."""
-    cols = ["symbol_key", "qname", "package_import_path", "file_path", "signature", "line"]
-    now = f.symbols.select("snapshot_id", *cols).join(f.pairs.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_semi")
-    before = _shifted(f, f.symbols.select("snapshot_id", *cols))
-    both = now.alias("n").join(before.alias("b"), ["snapshot_id", "symbol_key"], "full_outer")
-    contract = F.coalesce(F.col("n.signature") != F.col("b.signature"), F.lit(False))
-    moved = F.coalesce((F.col("n.file_path") != F.col("b.file_path")) | (F.col("n.line") != F.col("b.line")), F.lit(False))
-    change = F.when(F.col("b.qname").isNull(), "added").when(F.col("n.qname").isNull(), "removed").otherwise("changed")
-    out = both.select(
-        "snapshot_id", "symbol_key", *[F.coalesce(F.col(f"n.{c}"), F.col(f"b.{c}")).alias(c) for c in ("qname", "package_import_path", "file_path")],
-        change.alias("change"), contract.alias("contract_changed"), moved.alias("moved"),
-    )
-    return out.where("change <> 'changed' OR contract_changed OR moved")
-
-
-def changed_symbol_counts(f: Facts) -> DataFrame:
-    """Per snapshot: distinct qnames that are new, changed in signature, file or line, or gone."""
-    return symbol_versions(f).groupBy("snapshot_id").agg(F.count_distinct("qname").alias("changed_symbols"))
-
-
 def first_seen(f: Facts) -> DataFrame:
     return f.symbols.groupBy("qname").agg(F.min("snapshot_id").alias("first_snapshot"), F.max("snapshot_id").alias("last_snapshot"), F.count_distinct("snapshot_id").alias("snapshots"))
-
-
-def symbol_history(f: Facts, symbol_key: str) -> DataFrame:
-    """Events of one symbol, the newest first: its own change and its call edges that came and went."""
-    own = symbol_versions(f).where(F.col("symbol_key") == symbol_key).select("snapshot_id", "change", "contract_changed", "moved")
-    now = f.calls.where((F.col("callee_symbol_key") == symbol_key) | (F.col("caller_symbol_key") == symbol_key)).select("snapshot_id", *CALL_KEY)
-    later = now.join(f.pairs.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_semi")
-    before = _shifted(f, now)
-    key = ["snapshot_id", *CALL_KEY]
-    edges = later.join(before, key, "left_anti").withColumn("sign", F.lit("added")).unionByName(before.join(later, key, "left_anti").withColumn("sign", F.lit("removed")))
-    counted = edges.groupBy("snapshot_id").agg(F.count_if(F.col("sign") == "added").alias("added_calls"), F.count_if(F.col("sign") == "removed").alias("removed_calls"))
-    return own.join(counted, "snapshot_id", "full_outer").fillna(0, ["added_calls", "removed_calls"]).fillna("touched", ["change"]).fillna(False, ["contract_changed", "moved"])
-
-
-def package_history(f: Facts, import_path: str) -> DataFrame:
-    """Events of one package per snapshot: symbols added, removed, moved and changed in contract."""
-    rows = symbol_versions(f).where(F.col("package_import_path") == import_path)
-    return rows.groupBy("snapshot_id").agg(
-        F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"),
-        F.count_if("moved").alias("moved"), F.count_if("contract_changed").alias("contracts"),
-    )
-
-
-def cochange(f: Facts, anchor: DataFrame, label: str, own: list[str]) -> DataFrame:
-    """Labels that change in the snapshots in which the anchor changes: count and frequency.
-
-    ``anchor``: snapshot_id, one row per snapshot that touched the anchor.
-    """
-    hits = anchor.select("snapshot_id").distinct()
-    total = hits.agg(F.count(F.lit(1)).alias("anchor_changes"))  # one row
-    rows = symbol_versions(f).join(hits, "snapshot_id", "left_semi").where(F.col(label) != "").select("snapshot_id", F.col(label).alias("label")).distinct()
-    counted = rows.where(~F.col("label").isin(*own)).groupBy("label").agg(F.count(F.lit(1)).alias("change_count"))
-    return counted.join(F.broadcast(total)).withColumn("frequency", F.col("change_count") / F.col("anchor_changes"))

@@ -101,30 +101,6 @@ def reverse_dependencies(f: Facts, packages: DataFrame, sid: int | None = None)
     return deps.select(F.col("from_package_import_path").alias("import_path")).distinct()
 
 
-def blast_packages(f: Facts, symbol_key: str, depth: int = 3) -> DataFrame:
-    """Packages a change of the symbol can reach, each with its sorted reasons."""
-    mine = f.at("symbols").where(F.col("symbol_key") == symbol_key).select(F.col("package_import_path").alias("import_path"))
-    parts = [
-        callers(f, symbol_key).select(F.col("package_import_path").alias("label"), F.lit("direct caller").alias("why")),
-        transitive_callers(f, symbol_key, depth).select(F.col("package_import_path").alias("label"), F.lit("transitive caller").alias("why")),
-        references_in(f, symbol_key).select(F.col("package_import_path").alias("label"), F.lit("inbound reference").alias("why")),
-        reverse_dependencies(f, mine).select(F.col("import_path").alias("label"), F.lit("reverse package dependency").alias("why")),
-    ]
-    rows = reduce(DataFrame.unionAll, parts).where("label <> ''")
-    return rows.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("why"))
-
-
-def blast_files(f: Facts, symbol_key: str) -> DataFrame:
-    """Files that use or test the symbol, each with its sorted reasons."""
-    parts = [
-        callers(f, symbol_key).select(F.col("file_path").alias("label"), F.lit("call site").alias("why")),
-        references_in(f, symbol_key).select(F.col("file_path").alias("label"), F.lit("reference site").alias("why")),
-        tests_of(f, symbol_key).select(F.col("file_path").alias("label"), F.lit("related test").alias("why")),
-    ]
-    rows = reduce(DataFrame.unionAll, parts).where("label <> ''")
-    return rows.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("why"))
-
-
 def provenance(f: Facts, targets: DataFrame, limit: int = 3) -> DataFrame:
     """At most ``limit`` pieces of evidence per target symbol, callers first, then references, then tests.
 

@@ -12,6 +12,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..facts import Facts
+from ..workspace import stage
 from . import metrics
 from .delta import CALL_KEY, LINK_KEY, PACKAGE_COUNTS, REF_KEY
 
@@ -32,15 +33,38 @@ COUNTERS = [f"{change}_{c}" for change in ("added", "removed") for c in ("caller
 class Diffs:
     """The differences of one pair (``old``, ``new``), or of every snapshot to the one before.
 
-    Every table has ``snapshot_id``, the later snapshot of its pair.
+    Every table has ``snapshot_id``, the later snapshot of its pair.  With
+    ``qname``, symbols and edges are only those of symbols of that name: the
+    edges are filtered by its keys before anything is compared.
     """
 
-    def __init__(self, f: Facts, pair: tuple[int, int] | None = None) -> None:
-        self.f, self.pair = f, pair
+    def __init__(self, f: Facts, pair: tuple[int, int] | None = None, qname: str | None = None) -> None:
+        self.f, self.pair, self.qname = f, pair, qname
+
+    @cached_property
+    def _keys(self) -> DataFrame:
+        """The keys of the asked symbols: those that ever had the name, and the name itself, which stands for keys without a record."""
+        named = self.f.symbols.where(F.trim("qname") == F.trim(F.lit(self.qname))).select(F.col("symbol_key").alias("_asked"))
+        return stage(named.unionAll(self.f.spark.createDataFrame([(self.qname,)], "_asked string")).distinct(), "asked-keys")
+
+    def _mine(self, table: str) -> DataFrame:
+        """A table of edges or symbols; of the asked symbols only, if any are."""
+        rows = getattr(self.f, table)
+        if self.qname is None:
+            return rows
+        if table == "symbols":
+            return rows.where(F.trim("qname") == F.trim(F.lit(self.qname)))
+
+        def ends_in(frame: DataFrame, end: str, how: str) -> DataFrame:
+            return frame.join(self._keys.withColumnRenamed("_asked", end), end, how)
+
+        one, *other = {"calls": ["caller_symbol_key", "callee_symbol_key"], "refs": ["from_symbol_key", "to_symbol_key"], "test_links": ["symbol_key"]}[table]
+        return reduce(lambda got, end: got.unionByName(ends_in(ends_in(rows, end, "left_semi"), one, "left_anti")), other, ends_in(rows, one, "left_semi"))
 
     def _sides(self, table: str | DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         """(rows of the later snapshots, rows of the earlier ones under the later id)."""
-        rows = (getattr(self.f, table) if isinstance(table, str) else table).select("snapshot_id", *columns)
+        asked = isinstance(table, str) and table in ("symbols", "calls", "refs", "test_links")
+        rows = (self._mine(table) if asked else getattr(self.f, table) if isinstance(table, str) else table).select("snapshot_id", *columns)
         if self.pair:
             old, new = self.pair
             return rows.where(F.col("snapshot_id") == new), rows.where(F.col("snapshot_id") == old).withColumn("snapshot_id", F.lit(new).cast("long"))
@@ -101,7 +125,7 @@ class Diffs:
     @cached_property
     def _names(self) -> DataFrame:
         """The qname of every key on both sides: snapshot_id, change, _key, _qname."""
-        now, before = self._sides("symbols", "symbol_key", "qname")
+        now, before = self._sides(self.f.symbols, "symbol_key", "qname")
         both = now.withColumn("change", F.lit("added")).unionAll(before.withColumn("change", F.lit("removed")))
         return both.select("snapshot_id", "change", F.col("symbol_key").alias("_key"), F.col("qname").alias("_qname"))
 
@@ -241,7 +265,7 @@ def _introduced(f: Facts, first: DataFrame, events: DataFrame, zero: list[str],
 def symbol_history(f: Facts, symbol_key: str, limit: int = 10) -> DataFrame:
     """Events of the qname of a current symbol, the newest first."""
     qname = f.at("symbols").where(F.col("symbol_key") == symbol_key).select("qname").first()[0]
-    events = Diffs(f).symbol_events.where(F.col("qname") == F.trim(F.lit(qname))).drop("qname")
+    events = Diffs(f, qname=qname).symbol_events.where(F.col("qname") == F.trim(F.lit(qname))).drop("qname")
     first = f.symbols.where(F.col("qname") == qname).agg(F.min("snapshot_id").alias("snapshot_id")).where("snapshot_id IS NOT NULL")
     rows = _introduced(f, first, events, ["added_calls", "removed_calls", "added_refs", "removed_refs", "added_tests", "removed_tests"], ["contract_changed", "moved"])
     return rows.orderBy(F.desc("snapshot_id"), "status").limit(limit)
@@ -268,9 +292,9 @@ def _counted(labels: DataFrame, hits: DataFrame) -> DataFrame:
 def symbol_cochange(f: Facts, symbol_key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, packages, hits): what changes in the snapshots that touch a symbol, without the symbol's own places in each."""
     me = f.at("symbols").where(F.col("symbol_key") == symbol_key).select("qname", "file_path", "package_import_path").first()
-    d = Diffs(f)
-    hits = d.symbol_events.where(F.col("qname") == F.trim(F.lit(me["qname"]))).select("snapshot_id").distinct()
-    own = d.symbols.where(F.col("qname") == me["qname"])
+    d, mine = Diffs(f), Diffs(f, qname=me["qname"])
+    hits = stage(mine.symbol_events.where(F.col("qname") == F.trim(F.lit(me["qname"]))).select("snapshot_id").distinct(), "anchor-changes")
+    own = mine.symbols.where(F.col("qname") == me["qname"])
 
     def labels(rows: DataFrame, label: str, sides: list[str], current: str) -> DataFrame:
         places = own.select("snapshot_id", F.explode(F.array(*sides)).alias("label"))
@@ -285,9 +309,10 @@ def symbol_cochange(f: Facts, symbol_key: str) -> tuple[DataFrame, DataFrame, Da
 def package_cochange(f: Facts, import_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, packages, hits): what changes in the snapshots that affect a package, outside of it."""
     d = Diffs(f)
-    hits = d.touched_packages.where((F.col("import_path") == import_path) & ~F.col("by_file")).select("snapshot_id")
+    touched = stage(d.touched_packages, "touched-packages")
+    hits = touched.where((F.col("import_path") == import_path) & ~F.col("by_file")).select("snapshot_id")
     files = d.files.where(F.col("package_import_path") != import_path).select("snapshot_id", F.col("rel_path").alias("label"))
-    packages = d.touched_packages.where(F.col("import_path") != import_path).select("snapshot_id", F.col("import_path").alias("label"))
+    packages = touched.where(F.col("import_path") != import_path).select("snapshot_id", F.col("import_path").alias("label"))
     return _counted(files.join(hits, "snapshot_id", "left_semi"), hits), _counted(packages.join(hits, "snapshot_id", "left_semi"), hits), hits
 
 

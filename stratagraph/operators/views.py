@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..facts import Facts
+from ..workspace import stage
 from . import graph, history, rank
 from .history import Diffs
 
@@ -152,20 +153,23 @@ def recent_delta(f: Facts, symbol_key: str) -> DataFrame:
     """What the current snapshot changed about the symbol since its parent: one row of ``Diffs.impacted`` or none."""
     qname = f.at("symbols").where(F.col("symbol_key") == symbol_key).select("qname").first()[0]
     pair = (f.parent, f.current) if f.parent is not None else (-1, -1)
-    return Diffs(f, pair).impacted.where(F.col("qname") == qname)
+    return Diffs(f, pair, qname).impacted.where(F.col("qname") == F.trim(F.lit(qname)))
 
 
 class Impact:
-    """The parts of an impact view; the depth of the walk is 2 if less than 1 is asked for."""
+    """The parts of an impact view; the depth of the walk is 2 if less than 1 is asked for.
+
+    The lists of the one symbol feed several parts and are written once.
+    """
 
     def __init__(self, f: Facts, symbol_key: str, depth: int = 3) -> None:
         self.f, self.key, self.depth = f, symbol_key, depth if depth >= 1 else 2
         self.package = f.at("symbols").where(F.col("symbol_key") == symbol_key).select("package_import_path").first()[0]
-        self.callers, self.refs, self.tests = graph.callers(f, symbol_key), graph.references_in(f, symbol_key), graph.tests_of(f, symbol_key)
-        self.transitive = graph.transitive_callers(f, symbol_key, self.depth)
+        self.callers, self.refs, self.tests = (stage(rows(f, symbol_key), "impact-edges") for rows in (graph.callers, graph.references_in, graph.tests_of))
+        self.transitive = stage(graph.transitive_callers(f, symbol_key, self.depth), "impact-walk")
         files, packages, _ = history.symbol_cochange(f, symbol_key)
-        self.files, self.packages = history.top(files, 5), history.top(packages, 5)
-        self.delta = recent_delta(f, symbol_key)
+        self.files, self.packages = (stage(history.top(rows, 5), "impact-empirical") for rows in (files, packages))
+        self.delta = stage(recent_delta(f, symbol_key), "impact-delta")
 
     def _recent(self, parts: DataFrame, rules: list[tuple[str, str, list[str] | None]]) -> DataFrame:
         """Reasons by label with those of the recent delta, where the label has a reason with one of a rule's markers (None: any)."""

@@ -99,11 +99,5 @@ def stable_strings(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(_col(c), trimmed), lambda x: x != "")))
 
 
-def fingerprint(rows: Column | str) -> Column:
-    """sha256 over the sorted row texts; 'empty' for none."""
-    joined = F.array_join(F.array_sort(_col(rows)), "")
-    return F.when(F.size(_col(rows)) == 0, F.lit("empty")).otherwise(F.sha2(joined, 256))
-
-
 def project_id(c: Column | str) -> Column:
     return F.substring(F.sha2(_col(c), 256), 1, 16)

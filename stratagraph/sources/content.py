@@ -5,6 +5,8 @@ All of it is built-in column expressions, so the texts never leave the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -44,16 +46,21 @@ def is_artifact(path: Column | str) -> Column:
     return out
 
 
+SAMPLE_BYTES = 8192
+
+
 def is_binary(text: Column | str) -> Column:
-    """A NUL anywhere, or control characters as more than 8 % of the first 8,192 bytes.
+    """A NUL anywhere, or in the first 8,192 bytes no valid UTF-8 or control characters as more than 8 %.
 
-    For text columns, which are valid UTF-8; a byte column is judged by its
-    conversion (bytes that are no UTF-8 are binary).
+    A text column is valid UTF-8, so its sample is not only where it ends within
+    a character.
     """
     text = _c(text)
-    sample = F.substring(text, 1, 8192)
+    whole = F.encode(text, "UTF-8")
+    sample = F.decode(F.substring(whole, 1, SAMPLE_BYTES), "ISO-8859-1")  # a letter a byte
     control = F.length(sample) - F.length(F.regexp_replace(sample, r"[\x01-\x08\x0E-\x1F]", ""))
-    return (F.instr(text, "\x00") > 0) | F.coalesce(control / F.nullif(F.octet_length(sample), F.lit(0)) > 0.08, F.lit(False))
+    split = F.hex(F.substring(whole, SAMPLE_BYTES + 1, 1)).between("80", "BF")
+    return F.coalesce((F.instr(text, "\x00") > 0) | split | F.coalesce(control / F.nullif(F.length(sample), F.lit(0)) > 0.08, F.lit(False)), F.lit(False))
 
 
 def file_kind(path: str) -> Column:
@@ -90,11 +97,35 @@ def skip_reason(path: str, text: str, include_hidden: bool = False, include_gene
     return out
 
 
-def line_totals(files: DataFrame, by: list[str], path: str, text: str) -> DataFrame:
-    """Files, lines, filled lines and bytes per group."""
-    return files.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("file_count"), F.sum(T.line_count(text)).alias("line_count"), F.sum(T.filled_line_count(text)).alias("filled_lines"), F.sum(F.octet_length(text)).alias("byte_count")
-    )
+def dump_stats(files: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
+    """The figures of a dump as rows: section, name, files, line_count, filled_lines, byte_count.
+
+    ``files``: the keys, extension, reason (null: taken in), line_count,
+    filled_lines, byte_count.  Sections: total (files: all that were looked
+    at), average (whole lines a file), extension, skipped (by reason), largest
+    and top (by lines).
+    """
+    numbers = ["line_count", "filled_lines", "byte_count"]
+    kept, none = files.where("reason IS NULL"), F.lit(None).cast("long")
+
+    def rows(frame: DataFrame, section: str, name: Column, count: Column, values: list[Column]) -> DataFrame:
+        return frame.select(F.lit(section).alias("section"), name.alias("name"), count.cast("long").alias("files"), *[v.cast("long").alias(c) for v, c in zip(values, numbers)])
+
+    sums = [F.sum(c).alias(c) for c in numbers]
+    seen = files.agg(F.count(F.lit(1)).alias("seen"))
+    total = kept.agg(F.count(F.lit(1)).alias("files"), *sums).join(F.broadcast(seen))  # one row each
+    path = F.concat_ws("/", *keys)
+    order = [F.desc("line_count"), *keys]
+    values = [F.col(c) for c in numbers]
+    parts = [
+        rows(total, "total", F.lit("files"), F.col("seen"), values),
+        rows(total, "average", F.lit("lines"), F.col("files"), [F.expr("line_count div files"), none, none]),
+        rows(kept.groupBy("extension").agg(F.count(F.lit(1)).alias("files"), *sums), "extension", F.col("extension"), F.col("files"), values),
+        rows(files.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("files")), "skipped", F.col("reason"), F.col("files"), [none] * 3),
+        rows(kept.orderBy(F.desc("line_count"), F.desc("byte_count"), *keys).limit(1), "largest", path, F.lit(1), values),
+        rows(kept.orderBy(*order).limit(top), "top", path, F.lit(1), values),
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def ancestors(path: str) -> Column:
@@ -103,7 +134,7 @@ def ancestors(path: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def directory_rollup(files: DataFrame, keys: list[str], path: str, text: str) -> DataFrame:
-    """Every directory with the files, lines and bytes below it; sums are combined before the shuffle."""
-    rows = files.select(*keys, F.explode(ancestors(path)).alias("directory"), T.line_count(text).alias("_l"), F.octet_length(text).alias("_b"))
-    return rows.groupBy(*keys, "directory").agg(F.count(F.lit(1)).alias("file_count"), F.sum("_l").alias("line_count"), F.sum("_b").alias("byte_count"))
+def directory_rollup(files: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Every directory with the files, lines and bytes below it (line_count, byte_count of each file); sums are combined before the shuffle."""
+    rows = files.select(*keys, F.explode(ancestors(path)).alias("directory"), "line_count", "byte_count")
+    return rows.groupBy(*keys, "directory").agg(F.count(F.lit(1)).alias("file_count"), F.sum("line_count").alias("line_count"), F.sum("byte_count").alias("byte_count"))

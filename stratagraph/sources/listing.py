@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -90,3 +92,31 @@ def _rule_hit(rule: dict) -> Callable[[Column], Column]:
         return (below != "") & (T.base_name(below) if rule["match_base"] else below).rlike(rule["regex"])
 
     return hit
+
+
+def fingerprints(files: DataFrame, by: str) -> DataFrame:
+    """sha256 over the ten facts of each file, one line a file in order of path, per group; a group without files has no row.
+
+    A digest of a sequence can't be split, so each group's lines, sorted by
+    Spark, stream through one task, which holds one batch of them.
+    """
+    facts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rel_path", "package_import_path", "identity", "semantic_meta", "hash")]
+    flags = [F.coalesce(F.col(c), F.lit(False)).cast("string") for c in ("is_go", "is_rust", "is_test", "is_module")]
+    line = F.concat(F.concat_ws("\t", *facts, F.coalesce("size_bytes", F.lit(0)).cast("string"), *flags), F.lit("\n"))
+    lines = files.groupBy(by, "rel_path").agg(F.max(line).alias("_line"))
+    ordered = lines.repartition(by).sortWithinPartitions(by, "rel_path").select(F.col(by).alias("_by"), "_line")
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, hashed = None, None
+        for batch in batches:
+            for name, part in batch.groupby("_by", sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if hashed is None or name != at:
+                    if hashed is not None:
+                        yield pd.DataFrame([(at, hashed.hexdigest())], columns=[by, "fingerprint"])
+                    at, hashed = name, hashlib.sha256()
+                hashed.update("".join(part["_line"]).encode())
+        if hashed is not None:
+            yield pd.DataFrame([(at, hashed.hexdigest())], columns=[by, "fingerprint"])
+
+    return ordered.mapInPandas(digest, f"`{by}` string, fingerprint string")

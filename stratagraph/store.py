@@ -43,6 +43,14 @@ def copy_forward(previous: DataFrame, owner: str, impacted: DataFrame) -> DataFr
     return previous.join(impacted.select(F.col("import_path").alias(owner)), owner, "left_anti")
 
 
+def expired(ids: list[int], limit: int, current: int | None) -> list[int]:
+    """The snapshots that go if the newest ``limit`` are kept; the current one stays, and with no limit all do."""
+    if limit <= 0:
+        return []
+    newest = sorted(ids, reverse=True)
+    return sorted(i for i in newest[limit:] if i != current)
+
+
 class Store:
     """A project's snapshots in one folder."""
 
@@ -126,6 +134,6 @@ class Store:
     def enforce(self, limit: int) -> list[int]:
         """Keep the newest ``limit`` snapshots; returns the ids that went."""
         ids = [s["id"] for s in self.snapshots()]
-        gone = ids[: max(0, len(ids) - max(1, limit))]
+        gone = expired(ids, limit, self.current())
         self.delete(gone)
         return gone

@@ -60,17 +60,17 @@ def bursts(events: DataFrame, key: str, time: str, reason: str, window_ms: int)
     sorted_rows = ordered.repartition("key").sortWithinPartitions("key", "at", "why")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, wakes, why = None, 0, 0, []
+        now, start, wakes, why = None, 0, 0, {}
         out: list[tuple] = []
         for batch in batches:
             for k, at, reason_ in zip(batch["key"], batch["at"], batch["why"]):
                 if k != now or at - start > window_ms * 1000:
                     if wakes:
                         out.append((now, start, wakes, "+".join(why)))
-                    now, start, wakes, why = k, at, 0, []
+                    now, start, wakes, why = k, at, 0, {}
                 wakes += 1
-                if reason_ and reason_ not in why:
-                    why.append(reason_)
+                if reason_:
+                    why[reason_] = None  # in order of first use
             if out:
                 yield pd.DataFrame(out, columns=["key", "started", "wakes", "reasons"])
                 out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .facts import Facts, base
 from .functions import text as T
@@ -11,20 +11,30 @@ from .operators import delta
 from .plans import incremental
 from .registry import query
 from .sources import content, extract, listing
-from .store import copy_forward, one_per_key
+from .store import copy_forward, expired, one_per_key
 from .streaming import watch
 from .tables import load, slash_path
 
 _KEYS = ["project", "rel_path"]
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scanned files, copies once (the greatest content of a key)."""
-    rows = load(spark, sf_dir, "scan_files").groupBy(*_KEYS).agg(F.max("content").alias("content"), F.max("package_import_path").alias("package_import_path"))
-    return rows
+def _files(spark: SparkSession, sf_dir: str, **features: Column) -> DataFrame:
+    """One row per scanned file with features of its text; of several texts of a key, that with the greatest digest.
 
+    The features are computed before copies are dropped, so texts are not
+    shuffled, only digests and features.
+    """
+    rows = load(spark, sf_dir, "scan_files").withColumn("_digest", F.sha2("content", 256))
+    rows = rows.select(*_KEYS, F.struct("_digest", *[c.alias(n) for n, c in features.items()]).alias("_f"))
+    return rows.groupBy(*_KEYS).agg(F.max("_f").alias("_f")).select(*_KEYS, F.col("_f._digest").alias("digest"), *[F.col(f"_f.{n}").alias(n) for n in features])
 
-_FILES = "f AS (SELECT project, rel_path, max(content) AS content FROM scan_files GROUP BY ALL)"
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned files with their texts, copies once; for work on whole texts, which moves them."""
+    return load(spark, sf_dir, "scan_files").groupBy(*_KEYS).agg(F.max_by("content", F.sha2("content", 256)).alias("content"), F.max("package_import_path").alias("package_import_path"))
+
+
+_FILES = "f AS (SELECT project, rel_path, arg_max(content, sha256(content)) AS content FROM scan_files GROUP BY ALL)"
 _BASE = "regexp_extract(rel_path, '([^/]*)$', 1)"
 _UNIX = "replace(content, chr(13) || chr(10), chr(10))"
 _LINES = f"CASE WHEN {_UNIX} = '' THEN 0 ELSE len(string_split({_UNIX}, chr(10))) - CASE WHEN suffix({_UNIX}, chr(10)) THEN 1 ELSE 0 END END"
@@ -37,20 +47,27 @@ _SIZE = "octet_length(encode(content))"
     SELECT project, rel_path FROM h WHERE contains(head, '@generated') OR contains(head, 'automatically generated') OR (contains(head, 'do not edit') AND (contains(head, 'code generated') OR contains(head, 'generated by')))"""
 )
 def flt_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).where(content.is_generated("content")).select(*_KEYS)
+    return _files(spark, sf_dir, hit=content.is_generated("content")).where("hit").select(*_KEYS)
 
 
+_GENERATED = "(contains(head, '@generated') OR contains(head, 'automatically generated') OR (contains(head, 'do not edit') AND (contains(head, 'code generated') OR contains(head, 'generated by'))))".replace("head", "array_to_string(list_slice(string_split(lower(content), chr(10)), 1, 12), chr(10))")
 _MIN = f"(contains(lower({_BASE}), '.min.') AND {_SIZE} >= 512 OR {_LINES} BETWEEN 1 AND 3 AND {_SIZE} >= 2048 AND list_max(list_transform(string_split(content, chr(10)), lambda x: octet_length(encode(x)))) >= 800 AND {_SIZE} // ({_LINES}) >= 300)"
 
 
 @query(f"WITH {_FILES} SELECT project, rel_path FROM f WHERE content IS NOT NULL AND {_MIN}")
 def flt_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).where(content.is_minified("rel_path", "content")).select(*_KEYS)
+    return _files(spark, sf_dir, hit=content.is_minified("rel_path", "content")).where("hit").select(*_KEYS)
+
+
+#: The first 8,192 bytes as pairs of hexadecimal digits, and the byte that follows.
+_PAIRS = "list_transform(range(0, least(8192, octet_length(encode(content)))), lambda i: substring(hex(encode(content)), 2 * i + 1, 2))"
+_CONTROL = "['01', '02', '03', '04', '05', '06', '07', '08', '0E', '0F', '10', '11', '12', '13', '14', '15', '16', '17', '18', '19', '1A', '1B', '1C', '1D', '1E', '1F']"
+_BINARY = f"(contains(content, chr(0)) OR substring(hex(encode(content)), 16385, 2) BETWEEN '80' AND 'BF' OR len(list_filter({_PAIRS}, lambda x: list_contains({_CONTROL}, x))) * 1.0 / nullif(least(8192, octet_length(encode(content))), 0) > 0.08)"
 
 
-@query(f"WITH {_FILES} SELECT project, rel_path FROM f WHERE contains(content, chr(0)) OR (length(substring(content, 1, 8192)) - length(regexp_replace(substring(content, 1, 8192), '[\\x01-\\x08\\x0E-\\x1F]', '', 'g'))) * 1.0 / nullif(octet_length(encode(substring(content, 1, 8192))), 0) > 0.08")
+@query(f"WITH {_FILES} SELECT project, rel_path FROM f WHERE {_BINARY}")
 def flt_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).where(content.is_binary("content")).select(*_KEYS)
+    return _files(spark, sf_dir, hit=content.is_binary("content")).where("hit").select(*_KEYS)
 
 
 @query(f"WITH {_FILES} SELECT project, rel_path FROM f WHERE lower({_BASE}) IN ('.gitkeep', '.keep', '.keepme', '.placeholder') OR regexp_matches(lower({_BASE}), '(~|\\.(log|tmp|cache|pid|stackdump|swp|swo|bak|orig|rej))$')")
@@ -83,14 +100,32 @@ def prj_file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT project, rel_path, {_LINES} AS line_count, {_FILLED} AS filled_lines FROM f WHERE content IS NOT NULL")
 def fn_count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir).where("content IS NOT NULL")
-    return rows.select(*_KEYS, T.line_count("content").alias("line_count"), T.filled_line_count("content").alias("filled_lines"))
+    rows = _files(spark, sf_dir, line_count=T.line_count("content"), filled_lines=T.filled_line_count("content")).where("digest IS NOT NULL")
+    return rows.select(*_KEYS, "line_count", "filled_lines")
 
 
-@query(f"WITH {_FILES} SELECT {_EXT} AS extension, count(*) AS file_count, sum({_LINES})::BIGINT AS line_count, sum({_FILLED})::BIGINT AS filled_lines, sum({_SIZE})::BIGINT AS byte_count FROM f WHERE content IS NOT NULL GROUP BY 1")
+_REASON = f"""CASE WHEN len(list_filter(list_slice(string_split(rel_path, '/'), 1, -2), lambda d: list_contains([{', '.join(repr(d) for d in content.IGNORED_DIRECTORIES)}], d))) > 0 THEN 'ignored directory'
+  WHEN len(list_filter(string_split(rel_path, '/'), lambda d: prefix(d, '.'))) > 0 THEN 'hidden file'
+  WHEN lower({_BASE}) IN ('.gitkeep', '.keep', '.keepme', '.placeholder') OR regexp_matches(lower({_BASE}), '(~|\\.(log|tmp|cache|pid|stackdump|swp|swo|bak|orig|rej))$') THEN 'artifact'
+  WHEN content IS NULL OR {_SIZE} > {content.MAX_FILE_BYTES} THEN 'too large or unreadable' WHEN {_BINARY} THEN 'binary' WHEN regexp_replace(content, '[\\s\\x{{00a0}}\\x{{0085}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '', 'g') = '' THEN 'empty'
+  WHEN {_GENERATED} THEN 'generated' WHEN {_MIN} THEN 'minified' END"""
+_DUMPED = f"WITH {_FILES}, r AS (SELECT *, {_REASON} AS reason, {_EXT} AS extension, {_LINES} AS l, {_FILLED} AS e, {_SIZE} AS b FROM f), k AS (SELECT * FROM r WHERE reason IS NULL)"
+
+
+@query(
+    f"""{_DUMPED} SELECT 'total' AS section, 'files' AS name, (SELECT count(*) FROM r)::BIGINT AS files, sum(l)::BIGINT AS line_count, sum(e)::BIGINT AS filled_lines, sum(b)::BIGINT AS byte_count FROM k
+    UNION ALL SELECT 'average', 'lines', count(*), (sum(l) // count(*))::BIGINT, NULL, NULL FROM k UNION ALL SELECT 'extension', extension, count(*), sum(l)::BIGINT, sum(e)::BIGINT, sum(b)::BIGINT FROM k GROUP BY 2
+    UNION ALL SELECT 'skipped', reason, count(*), NULL, NULL, NULL FROM r WHERE reason IS NOT NULL GROUP BY 2
+    UNION ALL SELECT * FROM (SELECT 'largest', project || '/' || rel_path, 1, l, e, b FROM k ORDER BY l DESC, b DESC, project, rel_path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'top', project || '/' || rel_path, 1, l, e, b FROM k ORDER BY l DESC, project, rel_path LIMIT 5)"""
+)
 def agg_dump_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir).where("content IS NOT NULL").withColumn("extension", T.extension_label("rel_path"))
-    return content.line_totals(rows, ["extension"], "rel_path", "content")
+    return content.dump_stats(_dumped(spark, sf_dir), _KEYS)
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("content")
+    rows = _files(spark, sf_dir, reason=content.skip_reason("rel_path", "content"), line_count=T.line_count("content"), filled_lines=T.filled_line_count("content"), byte_count=size)
+    return rows.withColumn("extension", T.extension_label("rel_path"))
 
 
 @query(
@@ -98,7 +133,8 @@ def agg_dump_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT project, directory, count(*) AS file_count, sum(l)::BIGINT AS line_count, sum(b)::BIGINT AS byte_count FROM d GROUP BY 1, 2"""
 )
 def agg_dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.directory_rollup(_files(spark, sf_dir).where("content IS NOT NULL"), ["project"], "rel_path", "content")
+    rows = _files(spark, sf_dir, line_count=T.line_count("content"), byte_count=F.octet_length("content")).where("digest IS NOT NULL")
+    return content.directory_rollup(rows, ["project"], "rel_path")
 
 
 @query("SELECT project, count(*) FILTER (suffix(rel_path, '.go')) AS go_files, count(*) FILTER (suffix(lower(rel_path), '.py')) AS python_files, count(*) FILTER (suffix(lower(rel_path), '.rs')) AS rust_files FROM (SELECT DISTINCT project, rel_path FROM scan_files) GROUP BY 1")
@@ -108,24 +144,31 @@ def agg_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("project").agg(F.count_if(F.col("rel_path").endswith(".go")).alias("go_files"), F.count_if(low.endswith(".py")).alias("python_files"), F.count_if(low.endswith(".rs")).alias("rust_files"))
 
 
-@query()
+@query(f"{_DUMPED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS file_count FROM r GROUP BY 1")
 def src_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).withColumn("reason", F.coalesce(content.skip_reason("rel_path", "content"), F.lit("kept"))).groupBy("reason").agg(F.count(F.lit(1)).alias("file_count"))
+    return _dumped(spark, sf_dir).withColumn("reason", F.coalesce("reason", F.lit("kept"))).groupBy("reason").agg(F.count(F.lit(1)).alias("file_count"))
 
 
 #: Rules of the ignore query, in order.
 IGNORE_LINES = ["*.min.*", "/dist/", "generated/", "!/generated/quartz/**", "node_modules/", "**/rank/*_test.go"]
 
 
-@query()
+@query(
+    """SELECT DISTINCT project, rel_path FROM scan_files WHERE CASE WHEN regexp_matches(rel_path, '(^|/)rank/[^/]*_test\\.go(/|$)') THEN true WHEN regexp_matches(rel_path, '(^|/)node_modules/') THEN true WHEN regexp_matches(rel_path, '^generated/quartz/.') THEN false
+      WHEN regexp_matches(rel_path, '(^|/)generated/') THEN true WHEN regexp_matches(rel_path, '^dist/') THEN true WHEN regexp_matches(rel_path, '(^|/)[^/]*\\.min\\.[^/]*(/|$)') THEN true ELSE false END"""
+)
 def flt_gitignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).where(listing.ignored("rel_path", listing.parse_rules(IGNORE_LINES))).select(*_KEYS)
+    return load(spark, sf_dir, "scan_files").select(*_KEYS).distinct().where(listing.ignored("rel_path", listing.parse_rules(IGNORE_LINES)))
+
+
+_ROW = " || chr(9) || ".join(
+    ["coalesce(rel_path, '')", "coalesce(package_import_path, '')", "coalesce(identity, '')", "coalesce(semantic_meta, '')", "coalesce(hash, '')", "coalesce(size_bytes, 0)", *[f"coalesce({c}, false)::VARCHAR" for c in ("is_go", "is_rust", "is_test", "is_module")]]
+)
 
 
-@query(f"WITH {_FILES} SELECT project, CASE WHEN count(content) = 0 THEN 'empty' ELSE sha256(string_agg(rel_path || chr(9) || sha256(content) || chr(10), '' ORDER BY rel_path || chr(9) || sha256(content) || chr(10))) END AS fingerprint FROM f GROUP BY 1")
+@query(f"SELECT project, sha256(string_agg(line, '' ORDER BY rel_path)) AS fingerprint FROM (SELECT project, rel_path, max({_ROW} || chr(10)) AS line FROM scan_files GROUP BY 1, 2) GROUP BY 1")
 def fn_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir).withColumn("_row", F.concat("rel_path", F.lit("\t"), F.sha2("content", 256), F.lit("\n")))
-    return rows.groupBy("project").agg(T.fingerprint(F.collect_list("_row")).alias("fingerprint"))
+    return listing.fingerprints(load(spark, sf_dir, "scan_files"), "project")
 
 
 @query("SELECT DISTINCT project, substring(sha256(project), 1, 16) AS project_id FROM scan_files WHERE project IS NOT NULL")
@@ -195,10 +238,11 @@ def snk_copy_forward(f: Facts) -> DataFrame:
     return copy_forward(f.at("symbols", f.previous), "package_import_path", rec_reverse_deps(f)).select("symbol_key", "package_import_path")
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS n FROM (SELECT DISTINCT id FROM snapshots)) WHERE n > 3")
+@query("WITH s AS (SELECT id, row_number() OVER (ORDER BY id DESC) AS n, row_number() OVER (ORDER BY id) AS up FROM (SELECT DISTINCT id FROM snapshots)) SELECT id FROM s WHERE n > 3 AND id <> (SELECT id FROM s WHERE up = 2)")
 def dml_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = load(spark, sf_dir, "snapshots").select("id").distinct()
-    return ids.withColumn("n", F.row_number().over(Window.orderBy(F.desc("id")))).where("n > 3").select("id")  # one row per snapshot
+    """What goes if three snapshots are kept while the pointer is at the second one."""
+    ids = sorted(r.id for r in load(spark, sf_dir, "snapshots").select("id").distinct().collect())  # one row per snapshot
+    return spark.createDataFrame([(i,) for i in expired(ids, 3, ids[1])], "id long")
 
 
 @facts_query(
@@ -237,15 +281,15 @@ def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ex_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.symbols(_files(spark, sf_dir))
+    return extract.symbols(_texts(spark, sf_dir))
 
 
 @query()
 def ex_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
+    files = _texts(spark, sf_dir)
     return extract.edges(extract.symbols(files), extract.uses(files))
 
 
 @query()
 def ex_link_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.link_tests(extract.symbols(_files(spark, sf_dir)))
+    return extract.link_tests(extract.symbols(_texts(spark, sf_dir)))

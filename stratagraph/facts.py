@@ -178,6 +178,11 @@ class Facts:
         calls = self.at("calls", snapshot_id).join(self.at("symbols", snapshot_id).select("symbol_key"), F.col("callee_symbol_key") == F.col("symbol_key"), "left_semi")
         return calls.groupBy("callee_symbol_key").count().orderBy(F.desc("count"), "callee_symbol_key").first()[0]
 
+    def busiest_caller(self, snapshot_id: int | None = None) -> str:
+        """The symbol with most calls (then least key): the start of walks along them."""
+        calls = self.at("calls", snapshot_id).join(self.at("symbols", snapshot_id).select("symbol_key"), F.col("caller_symbol_key") == F.col("symbol_key"), "left_semi")
+        return calls.groupBy("caller_symbol_key").count().orderBy(F.desc("count"), "caller_symbol_key").first()[0]
+
     def largest_package(self, snapshot_id: int | None = None) -> str:
         symbols = self.at("symbols", snapshot_id).where("package_import_path <> ''")
         return symbols.groupBy("package_import_path").count().orderBy(F.desc("count"), "package_import_path").first()[0]

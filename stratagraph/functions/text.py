@@ -101,3 +101,40 @@ def stable_strings(c: Column | str) -> Column:
 
 def project_id(c: Column | str) -> Column:
     return F.substring(F.sha2(_col(c), 256), 1, 16)
+
+
+def same_family(a: Column | str, b: Column | str) -> Column:
+    """Whether a file and a test file have one name, but for the extension and the test's '_test'."""
+    own, other = (F.regexp_replace(base_name(c), r"\.[^.]*$", "") for c in (a, b))
+    return (own != "") & (own == F.regexp_replace(other, "_test$", ""))
+
+
+def name_affinity(name: Column | str, test_name: Column | str) -> Column:
+    """Whether the letters and digits of a test's name contain those of a symbol's name."""
+    return (_col(test_name) != "") & normalized_token(test_name).contains(normalized_token(name))
+
+
+def merged_why(left: Column, right: Column) -> Column:
+    """Two reasons as one: the longer where it contains the other, else both."""
+    return (
+        F.when(left == "", right).when((right == "") | left.contains(right), left).when(right.contains(left), right).otherwise(F.concat(left, F.lit("; "), right))
+    )
+
+
+def in_scope(path: Column | str, scope: str) -> Column:
+    """Whether a path is a directory or lies below it; '' holds every path."""
+    scope = scope.strip().strip("/")
+    return _col(path) != "" if not scope else (_col(path) == scope) | _col(path).startswith(scope + "/")
+
+
+def display_signature(kind: str = "kind", name: str = "name", receiver: str = "receiver", signature: str = "signature") -> Column:
+    """The signature as it is shown: with the name, and for types with their keyword."""
+    k, n, r, s = (F.col(c) for c in (kind, name, receiver, signature))
+    plain = F.when(s != "", s).otherwise(n)
+    rest = F.substring(s, F.lit(5), F.length(s))
+    bare = s.startswith("func(")
+    of_type = F.when((s != "") & (s != n), F.when(s.startswith("type "), s).otherwise(F.concat(F.lit("type "), n, F.lit(" "), s))).when(n != "", F.concat(F.lit("type "), n)).otherwise(plain)
+    return (
+        F.when((k == "method") & bare & (r != ""), F.concat(F.lit("func ("), r, F.lit(") "), n, rest)).when(k.isin("func", "method") & bare, F.concat(F.lit("func "), n, rest))
+        .when(k.isin("struct", "interface", "type", "alias", "class"), of_type).otherwise(plain)
+    )

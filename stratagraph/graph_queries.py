@@ -381,11 +381,6 @@ def rec_caller_packages(f: Facts) -> DataFrame:
     return graph.transitive_callers(f, f.busiest_symbol(), 3).where("package_import_path <> ''").select("package_import_path").distinct()
 
 
-@facts_query(f"{_walk_sql('caller_symbol_key', 'callee_symbol_key', 4)} SELECT * FROM wn")
-def rec_callee_bfs(f: Facts) -> DataFrame:
-    return graph.callee_walk(f, f.busiest_symbol(), 4)
-
-
 @facts_query("SELECT p AS import_path FROM anchor_pkg UNION SELECT from_package_import_path FROM pd_c WHERE to_package_import_path = (SELECT p FROM anchor_pkg)")
 def rec_reverse_deps(f: Facts) -> DataFrame:
     mine = f.at("packages").where(F.col("import_path") == f.largest_package()).select("import_path")
@@ -562,11 +557,6 @@ def win_page(f: Facts) -> DataFrame:
     return mine.select("symbol_key", F.floor(place / 28).alias("page"))
 
 
-@facts_query(settle=True)
-def top_tests_guidance(f: Facts) -> DataFrame:
-    return graph.test_guidance(f, f.busiest_symbol())
-
-
 @facts_query(f"{_TOP}, u AS (SELECT * FROM tf UNION ALL SELECT * FROM tt) SELECT file_path, sum(score)::BIGINT AS score, arg_min(symbol_key, (line, symbol_key)) AS symbol_key FROM u GROUP BY 1", settle=True)
 def vw_landing_hot(f: Facts) -> DataFrame:
     both = rank.top_functions(f).unionByName(rank.top_types(f))
@@ -642,10 +632,3 @@ def sr_text(f: Facts) -> DataFrame:
 @facts_query(_lines_sql(f"regexp_matches(text, '{TEXT_PATTERN}')", f"instr(text, regexp_extract(text, '{TEXT_PATTERN}')) - 1"))
 def sr_regex(f: Facts) -> DataFrame:
     return search.text_lines(f.raw("scan_files"), ["project", "rel_path"], TEXT_PATTERN, regex=True).select("project", "rel_path", "line", "col")
-
-
-@facts_query(settle=True)
-def sr_rank(f: Facts) -> DataFrame:
-    found = search.text_lines(f.raw("scan_files").dropDuplicates(["project", "rel_path"]), ["project", "rel_path", "package_import_path"], TEXT_QUERY).select(F.concat_ws("/", "project", "rel_path").alias("rel_path"), "package_import_path", "line", "col")
-    files = metrics.file_summaries(f).join(metrics.package_metrics(f).select(F.col("import_path").alias("package_import_path"), "importance"), "package_import_path", "left")
-    return search.ranked_text(found, files.select("rel_path", "package_import_path", "relevant_symbols", "linked_symbols", "related_tests", "reverse_package_deps", "importance"), 40)

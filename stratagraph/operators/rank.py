@@ -184,6 +184,26 @@ def symbol_risk() -> Column:
     )
 
 
+def neighbourhood_risk() -> Column:
+    """Risk of a symbol by its neighbourhood: callers, callees, references both ways, tests, users of its package and the package's importance."""
+    c = {n: F.col(n) for n in ("caller_count", "callee_count", "reference_count", "refs_out", "test_count", "reverse_package_deps", "package_importance")}
+    used = c["caller_count"] + c["reference_count"] + c["reverse_package_deps"]
+    impact = impact_label(used + c["test_count"])
+    return _notes(
+        F.when(impact != "low", F.concat(F.lit("blast="), impact)),
+        F.when(((c["caller_count"] > 0) & (c["callee_count"] > 0)) | ((c["reference_count"] > 0) & (c["refs_out"] > 0)), F.lit("seam")),
+        F.when(c["reverse_package_deps"] >= 3, F.concat(F.lit("pkg-rdeps="), c["reverse_package_deps"].cast("string"))),
+        F.when((c["test_count"] == 0) & (used >= 3), F.lit("tests=thin")),
+        F.when((c["package_importance"] >= 6) | (used >= 8), F.lit("hotspot")),
+    )
+
+
+def top_file_summaries(f: Facts, limit: int = 8) -> DataFrame:
+    """The files to look at first, ties broken by graph score, relevant symbols, related tests and recency."""
+    rows = scored_files(f).withColumn("_recent", F.col("change_distance") == 0)
+    return rows.orderBy(F.desc("quality_score"), F.desc("graph_score"), F.desc("relevant_symbols"), F.desc("related_tests"), F.desc("_recent"), "rel_path").limit(limit).drop("_recent")
+
+
 def package_risk() -> Column:
     return _notes(
         F.when(F.col("reverse_deps") >= 3, F.concat(F.lit("rdeps="), F.col("reverse_deps").cast("string"))),

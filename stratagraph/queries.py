@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import graph_queries, text_queries, view_queries  # noqa: F401  they register their queries
+from . import detail_queries, graph_queries, text_queries, view_queries  # noqa: F401  they register their queries
 from .operators.orphans import orphan_references, orphan_report
 from .operators.snapshot_delta import snapshot_changes
 from .registry import QUERIES, SQL, query

@@ -154,3 +154,26 @@ def test_search(spark, v1):
     assert search.find_symbols(v1, "Handle").first().qname == HANDLE
     extra = {"files": [_file(1, "util/run.go", U, "u", 80)], "packages": [(1, U, "util", "util", 1)], "symbols": [_symbol(1, f"{U}.Run", U, "util/run.go", "func", 3, 1, "func Run()")]}
     assert [r.qname for r in search.find_symbols(facts(spark, 1, extra), "Run").limit(2).collect()] == [RUN, f"{U}.Run"]
+
+
+def test_guidance_and_signal(v3):
+    got = {r.name: r for r in graph.test_guidance(v3, HELPER).collect()}
+    assert list(got) == ["TestHelper", "TestServiceRun"] and got["TestHelper"].relation == "direct" and got["TestServiceRun"].relation == "package"
+    assert got["TestHelper"].score == 240 + 3 * 20 + 3 * 6 + 320 and got["TestHelper"].why.startswith("direct test link (high); same package fallback")
+    signal = graph.test_signal(v3, HELPER).first()
+    assert (signal.direct, signal.strong, signal.nearby, signal.signal, signal.warning) == (1, 1, 1, "direct=1 strong | nearby=1", "")
+
+
+def test_callee_walk_has_parents(spark):
+    sites = [("a", "b", 5), ("a", "c", 3), ("b", "d", 1), ("c", "d", 9), ("d", "a", 1), ("d", "e", 2), ("c", "gone", 1)]
+    extra = {
+        "call_edges": [(1, P, f"{P}.{x}", f"{P}.{y}", "pkg/w.go", line, 1, "static", "") for x, y, line in sites],
+        "symbols": [_symbol(1, f"{P}.{x}", P, "pkg/w.go", "func", i, 1, "func()") for i, x in enumerate("abcde")],
+    }
+    got = {r.symbol_key.rsplit(".", 1)[1]: (r.depth, r.parent_key.rsplit(".", 1)[1], r.place) for r in graph.callee_walk(facts(spark, 1, extra), f"{P}.a").collect()}
+    assert got == {"c": (1, "a", 1), "b": (1, "a", 2), "d": (2, "c", 1), "e": (3, "d", 1)}  # c is visited first, so d is its child
+
+
+def test_package_evidence(v1):
+    got = [(r.source, r.label) for r in graph.package_provenance(v1, P).collect()]
+    assert got[0] == ("reverse_dep", A) and got[1] == ("symbol", RUN) and len(got) == 3

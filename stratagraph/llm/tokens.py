@@ -19,17 +19,19 @@ No shuffle: the work happens where the texts are read.  Memory is bounded by
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import shutil
+import uuid
+import weakref
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..workspace import spread
+from ..workspace import shared_dir, spread
 
 #: Where the public vocabulary lies unless a caller names another file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -64,16 +66,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Word encoder of one task; words met once are not encoded again."""
+    """Word encoder of one worker; words met once are not encoded again.
 
-    def __init__(self, path: str) -> None:
+    ``spill`` is a folder for what exceeds the memory limit, made only if that
+    happens; without one, nothing is spilled.
+    """
+
+    def __init__(self, path: str, spill: str | None = None) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         letters = _byte_letters()
         self.byte_id = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
-        spill = tempfile.mkdtemp(prefix="duck-", dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill, "preserve_insertion_order": "false"})
+        folder = f"{spill}/duck-{uuid.uuid4().hex}" if spill else ""
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": folder, "preserve_insertion_order": "false"})
+        if folder:
+            weakref.finalize(self, shutil.rmtree, folder, True)
         table = pa.table({
             "lft": pa.array([vocab[a] for a, _ in merges], pa.int32()),
             "rgt": pa.array([vocab[b] for _, b in merges], pa.int32()),
@@ -158,6 +166,18 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def _encoder(path: str, spill: str | None) -> Encoder:
+    """The encoder of this worker: tasks that follow find the merge table and the words met before."""
+    return Encoder(path, spill)
+
+
+def _spill_folder(spark: SparkSession) -> str | None:
+    """The shared folder, if workers can reach it as files."""
+    path = shared_dir(spark)
+    return path.removeprefix("file://").replace("file:", "") if path.startswith(("file:", "/")) else None
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``CHUNK_CHARS`` characters."""
     for batch in batches:
@@ -178,10 +198,10 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     other columns are ignored.
     """
     table = spread(documents.select(F.col(id_column), F.col(text_column).alias("_text")))
-    kind = dict(table.dtypes)[id_column]
+    kind, spill = dict(table.dtypes)[id_column], _spill_folder(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer, spill)
         for part in _chunks(batches, "_text"):
             ids = pa.array(encoder.ids(part.column("_text").to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_column, "ids"])
@@ -194,9 +214,10 @@ def token_counts(documents: DataFrame, text_column: str = "text", tokenizer: str
     kept = [c for c in documents.columns if c not in (text_column, out)]
     table = spread(documents.select(*kept, F.col(text_column).alias("_text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "_text")
+    spill = _spill_folder(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer, spill)
         for part in _chunks(batches, "_text"):
             sizes = pa.array(encoder.lengths(part.column("_text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), sizes], [*kept, out])

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..joins import prefilter
+from ..joins import PREFILTER_KEYS, prefilter
 from ..workspace import stage
 
 #: Records of one snapshot that a bucket is meant to hold, and cells of each of its three parts at first.
@@ -189,13 +189,15 @@ def classify(diff: DataFrame) -> DataFrame:
     return sides.select("table_name", "period", "k1", "k2", kind.alias("change_kind")).where("change_kind IS NOT NULL")
 
 
-def snapshot_changes(spark: SparkSession, tables: dict[str, DataFrame], pairs: list[tuple[int, int]], cells: int = CELLS, records_per_bucket: int = RECORDS_PER_BUCKET) -> DataFrame:
+def snapshot_changes(spark: SparkSession, tables: dict[str, DataFrame], pairs: list[tuple[int, int]], cells: int = CELLS, records_per_bucket: int = RECORDS_PER_BUCKET, prefilter_keys: int = PREFILTER_KEYS) -> DataFrame:
     """Distinct (table_name, period, record_key, change_kind) over all consecutive snapshots.
 
     ``tables``: per name a DataFrame with period, record_key, value and, where
     keys can be delivered again, loaded_at.  A snapshot without rows is an
     empty snapshot: everything before it is removed.  Empty tables and fewer
-    than two snapshots give no rows.
+    than two snapshots give no rows.  Up to ``prefilter_keys`` changed keys are
+    sent along to keep unchanged records out of the join that names them;
+    beyond that the join shuffles, with the same rows.
     """
     periods = len({p for pair in pairs for p in pair}) or 1
     parts = [hashed(f, name, max(1, f.count() // periods // records_per_bucket)) for name, f in tables.items()]
@@ -205,7 +207,7 @@ def snapshot_changes(spark: SparkSession, tables: dict[str, DataFrame], pairs: l
     for name, frame in tables.items():
         mine = found.where(F.col("table_name") == name)
         source = frame.where("record_key IS NOT NULL AND period IS NOT NULL").select("record_key")
-        near = prefilter(source.withColumn("k1", F.xxhash64("record_key")), F.col("k1"), mine, F.col("k1"), count)
+        near = prefilter(source.withColumn("k1", F.xxhash64("record_key")), F.col("k1"), mine, F.col("k1"), count, prefilter_keys)
         texts = near.distinct().select(F.col("k1"), F.xxhash64(F.lit(1), F.col("record_key")).alias("k2"), "record_key")
         out.append(mine.join(texts, ["k1", "k2"]).select("table_name", "period", "record_key", "change_kind"))
     return reduce(DataFrame.unionAll, out)

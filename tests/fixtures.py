@@ -62,5 +62,5 @@ def facts(spark: SparkSession, versions: int, extra: dict[str, list[tuple]] | No
     data = rows(versions)
     for name, more in (extra or {}).items():
         data[name] += more
-    tables: dict[str, DataFrame] = {name: spark.createDataFrame(data[name], schema) for name, schema in SCHEMAS.items()}
+    tables: dict[str, DataFrame] = {name: spark.createDataFrame(data[name], schema).coalesce(1) for name, schema in SCHEMAS.items()}
     return Facts(spark, tables=tables)

@@ -62,3 +62,11 @@ def test_several_tables_have_their_own_keys(spark):
     make = lambda rows: spark.createDataFrame(rows, "period long, record_key string, value string")
     out = sd.snapshot_changes(spark, {"a": make([(1, "k", "x")]), "b": make([(1, "k", "x"), (2, "k", "x"), (2, "k", "x")])}, [(1, 2)])
     assert {tuple(r) for r in out.collect()} == {("a", 2, "k", "removed")}
+
+
+def test_without_the_pre_filter(spark):
+    """Beyond the limit of keys the names come from a shuffled join: the same rows."""
+    rng = random.Random(7)
+    rows = [(p, f"k{i}", rng.choice("xy"), "1") for p in (1, 2, 3) for i in range(300) if rng.random() < 0.8]
+    pairs = [(1, 2), (2, 3)]
+    assert run(spark, rows, pairs, prefilter_keys=0) == run(spark, rows, pairs) == brute(rows, pairs)

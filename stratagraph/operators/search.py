@@ -31,10 +31,12 @@ def score_symbols(rows: DataFrame, query: str) -> DataFrame:
     low, canon = query.lower(), T.canonical_text(query)
     if not low:
         return rows.withColumn("score", F.lit(0)).withColumn("match_kind", F.lit(""))
-    named = rows.withColumns({"_name": F.lower(T.trimmed("name")), "_qname": F.lower(T.trimmed("qname")), "_key": F.lower(T.trimmed("symbol_key"))})
-    named = named.withColumn("_tail", T.qname_tail("_qname"))
-    named = named.withColumns({"_cn": T.canonical("_name"), "_ct": T.canonical("_tail"), "_cq": T.canonical("_qname"), "_ck": T.canonical("_key")})
-    name, qname, key, tail, cn, ct, cq, ck = (F.col(c) for c in ("_name", "_qname", "_key", "_tail", "_cn", "_ct", "_cq", "_ck"))
+    # the forms are made once, behind a one-row explode: otherwise they are put into every branch below, and the code gets too long to compile
+    lowered = rows.select("*", F.explode(F.array(F.struct(F.lower(T.trimmed("name")).alias("n"), F.lower(T.trimmed("qname")).alias("q"), F.lower(T.trimmed("symbol_key")).alias("k")))).alias("_l"))
+    tailed = lowered.select("*", F.explode(F.array(T.qname_tail("_l.q"))).alias("_tail"))
+    canonical = F.struct(*[T.canonical(c).alias(a) for a, c in (("n", "_l.n"), ("t", "_tail"), ("q", "_l.q"), ("k", "_l.k"))])
+    named = tailed.select("*", F.explode(F.array(canonical)).alias("_c"))
+    name, qname, key, tail, cn, ct, cq, ck = (F.col(c) for c in ("_l.n", "_l.q", "_l.k", "_tail", "_c.n", "_c.t", "_c.q", "_c.k"))
     out = F.when((key == low) | (qname == low), 1200).when((name == low) | (tail == low), 1150)
     out = out.when(name.startswith(low), 1025).when(tail.startswith(low), 1000).when(qname.startswith(low) | key.startswith(low), 975)
     out = out.when(name.contains(low), 900).when(tail.contains(low), 875).when(qname.contains(low) | key.contains(low), 850)
@@ -48,7 +50,7 @@ def score_symbols(rows: DataFrame, query: str) -> DataFrame:
         named = named.withColumn("_best", F.least(*[F.nullif(F.when(c != "", F.levenshtein(c, F.lit(canon), most)), F.lit(-1)) for c in (cn, ct, cq, ck)]))
         out = out.when(F.col("_best") <= most, F.greatest(F.lit(500) - F.col("_best") * 60, F.lit(320)))
     scored = named.withColumn("score", out.otherwise(0)).withColumn("match_kind", match_kind("score"))
-    return scored.drop("_name", "_qname", "_key", "_tail", "_cn", "_ct", "_cq", "_ck", "_best")
+    return scored.drop("_l", "_tail", "_c", "_best")
 
 
 def find_symbols(f: Facts, query: str, limit: int = 40) -> DataFrame:
